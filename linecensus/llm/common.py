@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+from pyarrow import RecordBatch
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 #: White space of the word contract, as a Java, Python and RE2 class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -56,3 +60,8 @@ def text_of(name: str = "text") -> Column:
 def crc_mod(name: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")) % n
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[RecordBatch]], Iterator[RecordBatch]], ddl: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(f, ddl)
