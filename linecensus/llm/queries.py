@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, secrets
+from . import bpe, langid, minhash, mixing, quality, secrets
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_rows(table(spark, sf_dir, "documents"))
 
 
+def op4_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
