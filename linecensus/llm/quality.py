@@ -1,6 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of hashed n-grams: byte 2- and 3-grams and words. Their counts in
+Features are indicators of hashed n-grams: byte 2- and 3-grams and words; and of n-gram
+statistics in bins: adjacent equal words, distinct words, length. Their counts in
 each class cover all learning rows; r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|) is
 the log-count ratio. A linear hinge-loss model over r-scaled indicators (unit length) is
 fitted by dual coordinate descent on a bounded sample (SAMPLE rows of each class, chosen
@@ -28,6 +29,7 @@ from .common import crc_mod, map_arrow, save
 from .graph import id_filter
 
 LOG2 = 18
+SIZE = (1 << LOG2) + 256  # the last 256: bins
 SAMPLE = 4_000
 COST = 1.0
 EPOCHS = 30
@@ -54,20 +56,26 @@ def features(text: str | None, cache: _Words | None = None) -> np.ndarray:
         grams = np.concatenate([two | np.uint32(0x1000000), three])
         found.append(np.unique((grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - LOG2)))
     cache = _Words() if cache is None else cache
-    words = [cache[w] for w in set(raw.split())]
-    return np.unique(np.concatenate([*found, np.array(words, np.uint32)])).astype(np.int32)
+    words = raw.split()
+    h = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+    some = np.unique(h)
+    bins = [len(words).bit_length()]
+    if len(h) > 1:
+        equal = int((h[1:] == h[:-1]).sum())
+        bins += [32 + min(31, equal), 64 + int(63 * equal / (len(h) - 1)), 128 + int(63 * len(some) / len(h)), 192 + int(31 * np.log2(len(some)) / 32)]
+    return np.unique(np.concatenate([*found, some, np.array(bins) + (1 << LOG2)])).astype(np.int32)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(quality, text) -> (feature, p, q): in how many texts of label 1 and 0; feature -1 counts texts."""
-    cache, n = _Words(), np.zeros((2, (1 << LOG2) + 1), np.int64)
+    cache, n = _Words(), np.zeros((2, SIZE + 1), np.int64)
     for b in batches:
         for label, text in zip(b.column(0).to_pylist(), b.column(1)):
             n[label, features(text.as_py(), cache)] += 1
             n[label, -1] += 1
     at = np.flatnonzero(n.any(axis=0))
     if len(at):
-        yield pa.record_batch([pa.array(np.where(at == 1 << LOG2, -1, at)), pa.array(n[1, at]), pa.array(n[0, at])], ["feature", "p", "q"])
+        yield pa.record_batch([pa.array(np.where(at == SIZE, -1, at)), pa.array(n[1, at]), pa.array(n[0, at])], ["feature", "p", "q"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +135,12 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """rows: id, quality (0, 1), text. Only sums per feature and the bounded sample come to the driver."""
     rows = save(rows, "labelled")
     got = map_arrow(rows.select("quality", "text"), _counted, "feature long, p long, q long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
-    n = np.zeros((2, (1 << LOG2) + 1))
+    n = np.zeros((2, SIZE + 1))
     n[:, got["feature"].to_numpy()] = got["p"].to_numpy(), got["q"].to_numpy()
     n, (ones, zeros) = n[:, :-1], n[:, -1]
     if not ones or not zeros:
         share = ones / (ones + zeros) if ones + zeros else 0.5
-        return Model(np.zeros(1 << LOG2), np.zeros((1 << LOG2) + 1), 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        return Model(np.zeros(SIZE), np.zeros(SIZE + 1), 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     smooth = n + 1
     r = np.log(smooth[0] / smooth[0].sum()) - np.log(smooth[1] / smooth[1].sum())
     r[(n.sum(axis=0) == 0)] = 0.0
