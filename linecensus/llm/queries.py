@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, pii, quality, secrets, vectors, warc
+import corpus_pipeline
+
+from . import bpe, flac, langid, minhash, mixing, pii, quality, secrets, vectors, warc
 from .common import table
 
 
@@ -14,6 +16,10 @@ def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(flac.to_media(table(spark, sf_dir, "documents")))
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_rows(table(spark, sf_dir, "documents"))
 
@@ -47,7 +53,7 @@ def op9_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
