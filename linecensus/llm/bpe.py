@@ -2,9 +2,10 @@
 
 A word is a run without Unicode white space. The tokenizers handled here drop white space
 before anything else, so a text's ids are those of its words in order. Texts are split in
-chunks of at most CHUNK characters (a longer text is a chunk of its own). A first scan
-turns each chunk into rows (chunk, place in the chunk's vocabulary, word); these meet by
-word, each distinct word is encoded once, and its ids go back to the chunks that asked.
+chunks of at most CHUNK characters (a longer text is a chunk of its own). A first scan deals the
+vocabulary of each chunk out by hashes of the words, in packed rows (bucket, chunk, places
+in the vocabulary, words); these meet by bucket, each distinct word is encoded once, and
+its ids go back to the chunks that asked.
 A second scan turns each chunk into a skeleton, the places of its words, which is joined
 with the answers by chunk; ids follow by position. So neither words nor texts are shuffled
 once for each occurrence. Decoding looks ids up in the id-to-piece table, whose size is
@@ -23,6 +24,7 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, parts
 
-CHUNK = 24_000_000
-FLUSH = 2_000_000
+CHUNK = 32_000_000
+TABLE = 2_000_000
 #: Control characters that str.split() drops, but Unicode White_Space does not hold.
 ODD = regex.compile(r"[\x1c-\x1f]")
 SPLIT = regex.compile(r"[^\p{White_Space}]+")
@@ -98,11 +100,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.n
             yield done(ids, counts, codes, vocab, key)
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, _, _, _, vocab in _chunks(batches):
-        for a in range(0, len(vocab), 50_000):
-            words = vocab[a : a + 50_000]
-            yield pa.record_batch([pa.array(np.full(len(words), key, np.int64)), pa.array(np.arange(a, a + len(words), dtype=np.int32)), pa.array(words, pa.string())], ["chunk", "place", "word"])
+def _vocabulary(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, _, _, vocab in _chunks(batches):
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) % buckets for w in vocab), np.int64, len(vocab))
+            order = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.diff(of[order])) + 1
+            words = np.array(vocab, dtype=object)
+            out = []
+            for places in np.split(order, cuts) if len(order) else []:
+                text = "\n".join(words[places]).encode()
+                out.append((int(of[places[0]]), key, len(places), _pack(places), len(text), pa.compress(text, "zstd", asbytes=True)))
+            for a in range(0, len(out), 200):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + 200]), WORDS_SCHEMA)], schema=WORDS_SCHEMA)
+
+    return run
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -123,40 +135,32 @@ def _rows(id_type: pa.DataType) -> pa.Schema:
     return pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("ids", pa.list_(id_type)), ("lens", pa.binary()), ("data", pa.binary())])
 
 
+WORDS = "bucket long, chunk long, n long, places binary, bytes long, words binary"
+WORDS_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("bytes", pa.int64()), ("words", pa.binary())])
 ROWS = "chunk long, kind int, n long, size long, ids array<long>, lens binary, data binary"
 
 
 def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (chunk, place, word) sorted by word -> answers: per chunk the places, the number of ids of each, the ids."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, last, last_ids, held, n = _tokenizer(path), None, None, {}, 0
+    """Packed words -> answers: per chunk and bucket the places, the number of ids of each, the ids.
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, (places, ids) in held.items():
-                lens = np.array([len(x) for x in ids], np.uint32)
-                flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": [0], "n": [len(places)], "size": [len(flat)], "ids": [[]], "lens": [_pack(np.concatenate([np.array(places, np.uint32), lens]))], "data": [_pack(flat)]}, schema=_rows(pa.int64()))
-            held.clear()
+    A word is in one bucket, a bucket in one task, and the task's table holds its ids: so it is
+    encoded once. (Beyond TABLE words the table starts anew, to bound memory.)
+    """
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, table = _tokenizer(path), {}
         for b in batches:
-            chunks, places, words = (b.column(i).to_pylist() for i in range(3))
-            fresh = list(dict.fromkeys(w for w in words if w != last))
-            got = {w: e.ids for w, e in zip(fresh, tok.encode_batch(fresh, add_special_tokens=False))}
-            if last is not None:
-                got.setdefault(last, last_ids)
-            for c, p, w in zip(chunks, places, words):
-                ids = got[w]
-                at = held.setdefault(c, ([], []))
-                at[0].append(p)
-                at[1].append(ids)
-                n += len(ids) + 1
-            if words:
-                last, last_ids = words[-1], got[words[-1]]
-            if n > FLUSH:
-                yield from flush()
-                n = 0
-        yield from flush()
+            for row in b.to_pylist():
+                words = pa.decompress(row["words"], row["bytes"], "zstd", asbytes=True).decode().split("\n")
+                if len(table) > TABLE:
+                    table.clear()
+                fresh = [w for w in words if w not in table]
+                table.update(zip(fresh, (e.ids for e in tok.encode_batch(fresh, add_special_tokens=False))))
+                ids = [table[w] for w in words]
+                lens = np.fromiter(map(len, ids), np.uint32, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
+                both = np.concatenate([_unpack(row["places"], row["n"]), lens])
+                yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]], "kind": [0], "n": [row["n"]], "size": [len(flat)], "ids": [[]], "lens": [_pack(both)], "data": [_pack(flat)]}, schema=_rows(pa.int64()))
 
     return encode
 
@@ -222,8 +226,8 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, finish: Callabl
     spark = docs.sparkSession
     n = parts(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = map_arrow(texts, _vocabulary, "chunk long, place int, word string")
-    answers = map_arrow(words.repartition(n, "word").sortWithinPartitions("word"), _encoder(path), ROWS)
+    words = map_arrow(texts, _vocabulary(4 * n), WORDS)
+    answers = map_arrow(words.repartition(n, "bucket"), _encoder(path), ROWS)
     both = answers.union(map_arrow(texts, _skeletons, ROWS)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
     return map_arrow(both, _assembler(path, finish, schema), ddl)
 
