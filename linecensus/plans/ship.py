@@ -21,6 +21,6 @@ def ship(spark: SparkSession) -> None:
     to = Path(tempfile.mkdtemp(prefix="linecensus-src-")) / f"{root.name}.zip"
     with zipfile.ZipFile(to, "w") as z:
         for p in sorted(root.rglob("*")):
-            if p.suffix in (".py", ".json"):
+            if p.suffix in (".py", ".def"):
                 z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(to))
