@@ -2,17 +2,20 @@
 
 A document's set is its distinct SHINGLE-word shingles (64-bit hashes). One scan gives per
 row the set's size, its digest, BANDS band keys of ROWS minima each, and the odd sketch:
-SAMPLES minima folded by parity into BITS bits. Rows with one set form a class (exact
-copies never become pairs). Candidates share a band key; at the threshold 0.85 a pair
-misses all bands with probability (1 - 0.85^5)^25 < 1e-6. The population count of the XOR
-of two sketches estimates how many samples differ, and so the similarity; a pair is only
-dropped there if the estimate is MARGIN (five standard deviations) below the threshold.
-What is left is confirmed on the full sets.
-
-Two rounds keep the work near linear in a group's size. First each bucket's members meet
-its smallest only. Then, in buckets that still hold several components, pairs between
-components are compared by sketch, in blocks of at most 2 * BLOCK rows; only pairs that
-pass are emitted. Nothing is capped; a hot bucket is dealt out over many blocks.
+the set's smallest hashes (all below 2^(64 - level), where the level leaves SAMPLES at
+most) folded by parity into BITS bits. Rows with one set form a class (exact copies never
+become pairs). Candidates share a band key; at the threshold 0.85 a pair misses all bands
+with probability (1 - 0.85^5)^25 < 1e-6. The population count of the XOR of two sketches
+never exceeds the number of samples that differ, so at level 0 (up to SAMPLES shingles) a
+pair over the threshold always passes; above it the limit adds 5.5 standard deviations.
+What passes is confirmed on the full sets.
+
+Rounds keep the pairs near linear in a group's size. First each bucket's members meet its
+smallest. Then only buckets that still hold several components are looked at, in blocks of
+at most 2 * BLOCK rows: a maximum spanning forest by estimated similarity of each block
+within a chunk, then of all blocks, then every pair between components that passes and was
+not judged before. So each pair that could join two components is judged, and hot buckets
+are dealt out over many blocks; nothing is capped.
 
 Defined results: a row without words or text has n_shingles 0 and links with nothing; rows
 with one id count as one document; a row without an id takes the component of its class
@@ -23,6 +26,7 @@ columns is read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +39,15 @@ from .graph import blocks, components, fixed_bytes, id_filter
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
-SAMPLES, BITS = 256, 1024
+SAMPLES, BITS = 1024, 2048
 THRESHOLD = 0.85
-MARGIN = 0.12
 BLOCK = 512
 
 _RNG = np.random.default_rng(20240229)
-_MUL = (_RNG.integers(0, 2**32, SAMPLES, np.uint64).astype(np.uint32)) | np.uint32(1)
-_ADD = _RNG.integers(0, 2**32, SAMPLES, np.uint64).astype(np.uint32)
+_MUL = (_RNG.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32)) | np.uint32(1)
+_ADD = _RNG.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32)
 _PLACE = [int(x) | 1 for x in _RNG.integers(0, 2**63, SHINGLE, np.int64)]
 _BAND = _RNG.integers(0, 2**63, (BANDS, ROWS), np.int64).astype(np.uint64) | np.uint64(1)
-_SALT = _RNG.integers(0, 2**63, SAMPLES, np.int64).astype(np.uint64)
 
 
 class _Words(dict):
@@ -82,31 +84,53 @@ def shingles(text: str | None, cache: _Words | None = None, k: int = SHINGLE) ->
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     h = (hashes >> np.uint64(16)).astype(np.uint32)
-    out = np.full(SAMPLES, 2**32 - 1, np.uint32)
+    out = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     for a in range(0, len(h), 512):
         np.minimum(out, (h[a : a + 512, None] * _MUL + _ADD).min(axis=0), out=out)
     return out
 
 
 def bands(mins: np.ndarray) -> np.ndarray:
-    m = mins[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
+    m = mins.astype(np.uint64).reshape(BANDS, ROWS)
     return _mix((m * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def odd_sketch(mins: np.ndarray) -> bytes:
-    at = (_mix(mins.astype(np.uint64) ^ _SALT) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=BITS) & 1).tobytes()
+def levels(n: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(np.maximum(1, n / SAMPLES))).astype(np.int64)
 
 
-def most_differing(threshold: float) -> int:
-    """The largest XOR population count that is kept."""
-    differing = 2 * SAMPLES * (1 - max(0.0, threshold - MARGIN))
-    return int(BITS / 2 * (1 - (1 - 2 / BITS) ** differing)) + 1
+def odd_sketches(hashes: np.ndarray, threshold: float) -> tuple[bytes, bytes]:
+    """Of sorted hashes, at the set's level and, for sizes whose partners may be a level higher, at the next (else zeros)."""
+    level = int(levels(np.array([len(hashes)]))[0])
 
+    def fold(level: int) -> bytes:
+        few = hashes if not level else hashes[: np.searchsorted(hashes, np.uint64(1 << (64 - level)))]
+        at = ((few * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+        return np.packbits(np.bincount(at, minlength=BITS) & 1).tobytes()
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return fold(level), fold(level + 1) if len(hashes) > 0.99 * threshold * SAMPLES * 2**level else bytes(BITS // 8)
+
+
+def passing(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """The largest XOR population count that sets of these sizes may have at the threshold; -1: sizes too unlike."""
+    most = (na + nb) * (1 - threshold) / (1 + threshold) + 1e-6
+    rate = 0.5 ** np.maximum(levels(na), levels(nb))
+    limit = np.where(rate == 1, np.floor(most), most * rate + 5.5 * np.sqrt(most * rate) + 4)
+    return np.where(np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-6, limit, -1.0)
+
+
+def differing(g: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """XOR population counts of pairs of rows, at the level they share."""
+    words, upper = (g[k].reshape(len(g["n"]), -1).view(np.uint64) for k in ("sketch", "upper"))
+    lx, ly = levels(g["n"][x]), levels(g["n"][y])
+    a = np.where((lx < ly)[:, None], upper[x], words[x])
+    b = np.where((ly < lx)[:, None], upper[y], words[y])
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     cache = _Words()
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("upper", pa.binary())])
     for b in batches:
         for a in range(0, b.num_rows, 2000):
             part = b.slice(a, 2000)
@@ -114,16 +138,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, text in zip(part.column(0).to_pylist(), part.column(1)):
                 h = shingles(text.as_py(), cache)
                 if len(h):
-                    m = minima(h)
-                    out.append((i, len(h), xxhash.xxh3_128_digest(h.tobytes()), bands(m).view(np.int64), odd_sketch(m)))
+                    out.append((i, len(h), xxhash.xxh3_128_digest(h.tobytes()), bands(minima(h)).view(np.int64), *odd_sketches(h, threshold)))
                 else:
-                    out.append((i, 0, None, None, None))
+                    out.append((i, 0, None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, _signatures, "id long, n long, digest binary, bands array<long>, sketch binary")
+    return map_arrow(rows, partial(_signatures, threshold=threshold), "id long, n long, digest binary, bands array<long>, sketch binary, upper binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -157,81 +180,135 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thr
     return map_arrow(with_b, compare, "a long, b long, linked boolean")
 
 
-def _cross(limit: int, threshold: float):
-    """Blocks (key, i, j) of rows (id, top, n, sketch, chunk): pairs between components that pass by size and sketch."""
+WIDE = {"sketch": BITS // 8, "upper": BITS // 8}
+
+
+def _passing_pairs(g: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a block, in different components, that pass; and their counts as a share of the limit."""
+    i, j = g["i"][0], g["j"][0]
+    left, right = np.flatnonzero(g["chunk"] == i), np.flatnonzero(g["chunk"] == j)
+    words, found = g["sketch"].reshape(len(g["n"]), -1).view(np.uint64), []
+    for a in range(0, len(left), 64):
+        l = left[a : a + 64]
+        limit = passing(g["n"][l, None], g["n"][None, right], threshold)
+        limit[g["top"][l, None] == g["top"][None, right]] = -1
+        if i == j:
+            limit[g["id"][l, None] >= g["id"][None, right]] = -1
+        same = levels(g["n"][l])[:, None] == levels(g["n"][right])[None, :]
+        z = np.bitwise_count(words[l, None, :] ^ words[None, right, :]).sum(axis=2, dtype=np.int64)
+        x, y = np.nonzero(~same & (limit >= 0))
+        z[x, y] = differing(g, l[x], right[y])
+        x, y = np.nonzero(z <= limit)
+        found.append((l[x], right[y], z[x, y] / np.maximum(1, limit[x, y])))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _forest(g: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which of the pairs make a spanning forest of the block's components, most similar pairs first."""
+    tops, at = np.unique(g["top"], return_inverse=True)
+    parent, kept = np.arange(len(tops)).tolist(), []
+
+    def root(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    # the best pair of each two components is enough
+    u, v = np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
+    order = np.lexsort((share, v, u))
+    new = np.ones(len(order), bool)
+    new[1:] = (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])
+    best = order[new]
+    for k in best[np.argsort(share[best], kind="stable")].tolist():
+        a, b = root(int(at[x[k]])), root(int(at[y[k]]))
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def _cross(threshold: float, forest: bool):
+    """Blocks (key, i, j) of rows: pairs between components that pass, or a forest of them."""
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in blocks(batches, 3, {"sketch": BITS // 8}):
-            i, j = g["i"][0], g["j"][0]
-            left, right = np.flatnonzero(g["chunk"] == i), np.flatnonzero(g["chunk"] == j)
-            words = g["sketch"].reshape(len(g["id"]), -1).view(np.uint64)
-            out = []
-            for a in range(0, len(left), 64):
-                l = left[a : a + 64]
-                near = np.bitwise_count(words[l, None, :] ^ words[None, right, :]).sum(axis=2, dtype=np.int32) <= limit
-                near &= g["top"][l, None] != g["top"][None, right]
-                small, large = np.minimum(g["n"][l, None], g["n"][None, right]), np.maximum(g["n"][l, None], g["n"][None, right])
-                near &= small >= threshold * large - 1e-9
-                if i == j:
-                    near &= g["id"][l, None] < g["id"][None, right]
-                x, y = np.nonzero(near)
-                out.append((g["id"][l[x]], g["id"][right[y]]))
-            x, y = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        for g in blocks(batches, 3, WIDE):
+            x, y, share = _passing_pairs(g, threshold)
+            if forest and len(x):
+                k = _forest(g, x, y, share)
+                x, y = x[k], y[k]
+            x, y = g["id"][x], g["id"][y]
             if len(x):
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return cross
 
 
+def _close(threshold: float):
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = dict(zip(b.schema.names, b.columns))
+            n = [c[k].to_numpy() for k in ("na", "nb")]
+            g = {"n": np.concatenate(n), **{k: np.concatenate([fixed_bytes(c[k[0] + s], BITS // 8) for s in "ab"]) for k in WIDE}}
+            m = np.arange(b.num_rows)
+            near = differing(g, m, m + b.num_rows) <= passing(*n, threshold)
+            yield pa.RecordBatch.from_arrays([c["a"], c["b"]], ["a", "b"]).filter(pa.array(near))
+
+    return close
+
+
+def _merged(tops: DataFrame | None, more: DataFrame) -> DataFrame:
+    """node, component after links `more` (a, b) join components of `tops`."""
+    if tops is None:
+        return components(more)
+    up = more.join(tops.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(tops.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    second = components(up.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    old = tops.join(second.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    return save(old.union(second.join(tops, "node", "left_anti").select("node", "component")), "tops")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     spark = docs.sparkSession
     n = parts(spark)
-    signed = save(signatures(docs, id_col, text_col), "signed")
-    reps = signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = save(reps, "reps")
+    signed = save(signatures(docs, id_col, text_col, threshold), "signed")
+    wide = [F.first(c).alias(c) for c in ("n", "bands", "sketch", "upper")]
+    reps = save(signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), *wide), "reps")
     named = reps.filter("id is not null")
     keys = named.select("id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
     members = save(keys.join(buckets, "key"), "members")
-    limit = most_differing(threshold)
 
     # round 1: every member against the smallest of its bucket
-    sketches = named.select("id", "n", F.col("sketch"))
+    sketches = named.select("id", "n", "sketch", "upper")
+    of = {s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("upper").alias(f"u{s}")) for s in "ab"}
     stars = members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sketches.withColumnsRenamed({"id": "a", "n": "na", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"id": "b", "n": "nb", "sketch": "sb"}), "b")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (fixed_bytes(b.column(i), BITS // 8) for i in (2, 3))
-            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32) <= limit
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near))
-
-    sized = stars.filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select("a", "b", "sa", "sb")
-    stars = save(map_arrow(sized, close, "a long, b long").distinct(), "stars")
+    stars = stars.join(of["a"].select("a", F.col("na").alias("size")), "a").join(of["b"], "b").filter(F.least("size", "nb") >= F.greatest("size", "nb") * threshold - 1e-6).drop("size").join(of["a"], "a")
+    stars = save(map_arrow(stars, _close(threshold), "a long, b long").distinct(), "stars")
     judged = save(confirmed(stars, docs, id_col, text_col, threshold).groupBy("a", "b").agg(F.max("linked").alias("linked")), "judged")
-    first = components(judged.filter("linked").select("a", "b"))
+    tops = _merged(None, judged.filter("linked").select("a", "b"))
 
-    # round 2: pairs between components, in buckets that hold several
-    top = F.coalesce("component", "id").alias("top")
-    placed = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", top)
-    mixed = placed.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).filter("lo < hi").select("key")
-    rows = placed.join(mixed, "key").join(sketches, "id")
+    # further rounds: buckets that hold several components
     many = F.ceil(F.col("size") / BLOCK)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), many)).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-    rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "top", "n", "sketch", "chunk")
-    rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    crossing = map_arrow(rows, _cross(limit, threshold), "a long, b long").distinct()
-    crossing = save(crossing.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
-    more = confirmed(crossing, docs, id_col, text_col, threshold).filter("linked").select("a", "b")
-    tops = first.select("node", "component")
-    more = more.join(tops.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(tops.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    second = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-
-    # every id with an edge, then every class, then every row
-    top1 = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("node", F.coalesce("final", "component").alias("final"))
-    alone = second.join(first, "node", "left_anti").select("node", F.col("component").alias("final"))
-    final = top1.union(alone)
+    for forest, within in ((True, True), (True, False), (False, False)):
+        placed = members.join(tops.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("top"))
+        mixed = placed.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).filter("lo < hi").select("key")
+        rows = placed.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), many))
+        other = F.col("chunk") if within else F.explode(F.sequence(F.lit(0), many - 1))
+        rows = rows.withColumn("other", other).join(sketches, "id")
+        rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "top", "n", "sketch", "upper", "chunk")
+        rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        crossing = map_arrow(rows, _cross(threshold, forest), "a long, b long").distinct()
+        crossing = save(crossing.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
+        if crossing.isEmpty():
+            continue
+        fresh = save(confirmed(crossing, docs, id_col, text_col, threshold).groupBy("a", "b").agg(F.max("linked").alias("linked")), "judged")
+        judged = judged.union(fresh)
+        linked = fresh.filter("linked").select("a", "b")
+        tops = tops if linked.isEmpty() else _merged(tops, linked)
+
+    # every class, then every row
+    final = tops.select("node", F.col("component").alias("final"))
     of_class = reps.select("digest", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("final", "id").alias("component_id"))
     out = signed.select("id", "n", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
@@ -240,5 +317,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose id is the smallest of its component; columns as in docs."""
-    kept = classes(docs, id_col, text_col, threshold).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_id"])).select(*[docs[c] for c in docs.columns])
+    kept = classes(docs, id_col, text_col, threshold).filter("kept").select(F.col("doc_id").alias("kept_id__of_minhash")).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_id__of_minhash"])).select(*[docs[c] for c in docs.columns])
