@@ -103,6 +103,7 @@ def secret_rows(docs: DataFrame, **names: str) -> DataFrame:
 
 def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "lang") -> DataFrame:
     """docs with each live-looking secret replaced by MARK; examples and everything else stay. n_chars, if there, follows the text."""
+    own = {k: f"{k}__of_cut" for k in ("id", "mark", "cuts", "text")}  # apart from any column of docs
     found = scan(docs, id_col, text_col, owner, repo, mark=True)
     live = F.filter("judged", lambda x: x["live"])
     runs = "array<struct<start:int,stop:int>>"
@@ -114,11 +115,11 @@ def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return F.when((F.size(acc) > 0) & (s["start"] < last["stop"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(fresh)
 
     cuts = verdicts(found).withColumn("cuts", F.reverse(F.aggregate(live, F.array().cast(runs), merge))).filter(F.size("cuts") > 0)
-    cuts = found.select("row", "doc_id", "mark").join(cuts, "row").groupBy(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.first("cuts").alias("cuts"))
+    cuts = found.select("row", "doc_id", "mark").join(cuts, "row").groupBy(F.col("doc_id").alias(own["id"]), F.col("mark").alias(own["mark"])).agg(F.first("cuts").alias(own["cuts"]))
 
     def cut(text: Column, s: Column) -> Column:
         return F.concat(F.substring(text, F.lit(1), s["start"]), F.lit(MARK), F.substring(text, s["stop"] + 1, F.length(text)))
 
-    clean = F.when(F.col("cuts").isNull(), F.col(text_col)).otherwise(F.aggregate("cuts", F.col(text_col), cut))
-    out = docs.join(cuts, docs[id_col].eqNullSafe(cuts["cut_id"]) & (F.xxhash64(docs[text_col]) == cuts["cut_mark"]), "left").withColumn("clean_text", clean)
-    return out.select(*[F.col("clean_text").alias(c) if c == text_col else F.when(docs[c].isNotNull(), F.length("clean_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    clean = F.when(F.col(own["cuts"]).isNull(), docs[text_col]).otherwise(F.aggregate(own["cuts"], docs[text_col], cut))
+    out = docs.join(cuts, docs[id_col].eqNullSafe(cuts[own["id"]]) & (F.xxhash64(docs[text_col]) == cuts[own["mark"]]), "left").withColumn(own["text"], clean)
+    return out.select(*[F.col(own["text"]).alias(c) if c == text_col else F.when(docs[c].isNotNull(), F.length(own["text"]).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
