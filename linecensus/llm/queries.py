@@ -56,5 +56,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
+_COMPONENTS = "reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a), low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)"
+
+#: Where SQL can say it in time; the other operators are tested against brute force, exact round trips or held-out accuracy.
+SQL = {
+    "op1_cross_polytope": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+        links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v AS p JOIN v AS q ON p.label = q.label AND p.vec_id <> q.vec_id WHERE list_cosine_similarity(p.e, q.e) >= 0.93), {_COMPONENTS}
+        SELECT x.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(x.vec_id, coalesce(low.b, x.vec_id)) AS component_id, x.vec_id <= coalesce(low.b, x.vec_id) AS kept
+        FROM embeddings AS x LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) AS c ON c.a = x.vec_id LEFT JOIN low ON low.a = x.vec_id""",
+    "op9_indexed_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM q""",
+    "op10_odd_sketch_minhash": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s AS p JOIN s AS q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)), {_COMPONENTS}
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(low.b, d.doc_id) AS kept
+        FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
