@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pkgutil
 from dataclasses import dataclass, field
 from functools import lru_cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -142,7 +142,5 @@ def definitions(catalog: Catalog, shared: bool = False) -> str:
 
 @lru_cache(maxsize=1)
 def builtin() -> Catalog:
-    import importlib.resources as r
-
-    got = parse((r.files(__package__) / "languages.def").read_text(encoding="utf-8")) if not Path(__file__).with_name("languages.def").exists() else parse(Path(__file__).with_name("languages.def").read_text(encoding="utf-8"))
+    got = parse(pkgutil.get_data(__package__, "languages.def").decode())
     return Catalog(got.languages, got.extensions, got.names, got.scripts, got.prefixes)
