@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,5 +79,31 @@ SQL = {
 }
 
 
+def _secrets_sql() -> str:
+    """The secret scan as SQL: positions from running lengths of the pieces between matches."""
+    text = "coalesce(text, '')"
+    q = lambda t: t.replace("'", "''")
+    runs = "|".join(re.escape(c) * 6 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    fake = secrets.PLACEHOLDER.replace(r"(.)\1{5}", runs)
+    parts = []
+    for kind, pattern, group, least in (*secrets.BASE, secrets.GENERIC):
+        parts.append(f"""
+            SELECT doc_id, source, lang, {secrets.RANKS[kind]} AS k, '{kind}' AS kind, v, (sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m))::BIGINT AS a, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS z, length(v) >= {least} AS ok
+            FROM (SELECT doc_id, source, lang, unnest(regexp_extract_all({text}, '{q(pattern)}')) AS m, unnest(regexp_extract_all({text}, '{q(pattern)}', {group})) AS v, unnest(string_split_regex({text}, '{q(pattern)}')) AS p, unnest(generate_series(1, greatest(1, len(string_split_regex({text}, '{q(pattern)}'))))) AS i FROM documents) WHERE m IS NOT NULL""")
+    return f"""
+        WITH found AS ({" UNION ALL ".join(parts)}), base AS (SELECT * FROM found WHERE ok AND k < 3),
+        extra AS (SELECT g.* FROM found AS g WHERE ok AND k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[G-Zg-z]') AND NOT EXISTS (SELECT 1 FROM base AS b WHERE b.doc_id = g.doc_id AND b.a < g.z AND g.a < b.z)),
+        every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
+        held AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT source || chr(0) || lang) AS repos FROM every GROUP BY v),
+        judged AS (SELECT e.*, owners < {secrets.OWNERS} AND repos < {secrets.REPOS} AND NOT regexp_matches(e.v, '{q(fake)}') AS live FROM every AS e JOIN held AS h ON h.v = e.v),
+        docs AS (SELECT doc_id, sum(CASE WHEN kind = 'assign' THEN 1 ELSE 0 END) AS n_assign, sum(CASE WHEN kind = 'access' THEN 1 ELSE 0 END) AS n_access, sum(CASE WHEN kind = 'hex' THEN 1 ELSE 0 END) AS n_hex,
+            string_agg(CASE WHEN k < 3 THEN kind || ':' || a || ':' || z END, ',' ORDER BY a, k) AS b, string_agg(CASE WHEN k < 3 OR live THEN kind || ':' || a || ':' || z END, ',' ORDER BY a, k) AS s, sum(CASE WHEN live THEN 1 ELSE 0 END) AS n_live, sum(CASE WHEN live THEN 0 ELSE 1 END) AS n_example FROM judged GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+        FROM documents AS d LEFT JOIN docs AS x ON x.doc_id = d.doc_id"""
+
+
+SQL["op3_secret_ownership"] = _secrets_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return SQL
