@@ -49,10 +49,10 @@ def by_name(files: DataFrame, catalog: Catalog, o: ClassifyOptions = ClassifyOpt
         df = df.withColumn(f"c_ext{n}", F.when(F.size(parts) > n, F.lower(ext) if o.ignore_case_ext else ext))
     df = df.withColumns({"c_low": F.lower("c_name"), "c_program": interpreter(F.col("first_line"))})
     df = _lookup(_lookup(df, catalog, "not_code_names", "c_name", "c_not_name"), catalog, "names", "c_name", "c_whole")
-    steps = [(F.col("c_not_name").isNotNull(), None, "listed in not-code names"), (F.col("c_name").endswith("~"), None, "temporary editor file"), (F.col("c_whole").isNotNull(), F.col("c_whole"), None)]
+    steps = [(F.col("c_not_name").isNotNull(), None, F.concat(F.lit("listed in Not_Code_Filename: "), "c_name")), (F.col("c_name").endswith("~"), None, "temporary editor file"), (F.col("c_whole").isNotNull(), F.col("c_whole"), None)]
     for n in (3, 2, 1):
         df = _lookup(_lookup(df, catalog, "not_code_extensions", f"c_ext{n}", f"c_no{n}"), catalog, "extensions", f"c_ext{n}", f"c_is{n}")
-        steps += [(F.col(f"c_no{n}").isNotNull(), None, "listed in not-code extensions"), (F.col(f"c_is{n}").isNotNull(), F.col(f"c_is{n}"), None)]
+        steps += [(F.col(f"c_no{n}").isNotNull(), None, F.concat(F.lit("listed in Not_Code_Extension: "), f"c_ext{n}")), (F.col(f"c_is{n}").isNotNull(), F.col(f"c_is{n}"), None)]
     dotted, stem = F.contains("c_name", F.lit(".")), F.regexp_replace("c_name", r"\.[^.]*\z", "")
     prefix = F.lit(None).cast("string")
     for p in sorted(catalog.prefixes, key=len):  # the longest is tested first
@@ -70,7 +70,7 @@ def by_name(files: DataFrame, catalog: Catalog, o: ClassifyOptions = ClassifyOpt
     language, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
     for test, name, why in reversed(steps):
         language = F.when(test, F.lit(None) if name is None else name).otherwise(language)
-        reason = F.when(test, F.lit(why)).otherwise(reason)
+        reason = F.when(test, F.lit(why) if why is None or isinstance(why, str) else why).otherwise(reason)
     return df.withColumns({"candidate": language, "skip_reason": reason}).select(*kept, "candidate", "skip_reason")
 
 
