@@ -54,7 +54,7 @@ class _Words(dict):
     """word -> 64-bit hash; forgets all when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
