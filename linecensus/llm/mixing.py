@@ -10,7 +10,8 @@ and lambda(s) is the root of a convex dual's gradient. One distributed Newton it
 for all sources at once is a join of the (source, size) histogram with the multipliers and
 one aggregation by source; a bracket keeps each step safe. Rates become copies 0, 1 or 2
 by error feedback from the largest document to the smallest, inside hash buckets of about
-BUCKET documents, so that a source with a third of all rows is dealt out over many tasks.
+BUCKET documents, so that a source with a third of all rows is dealt out over many tasks;
+what is then left of a bucket's words is settled by single copies that bring it nearer.
 
 Defined results: a null text or one without words has size 0 and takes 0 words; a null
 source is a source of its own (last); without rows, or with no word at all, every target
@@ -120,7 +121,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rated = sized.join(known, "key").withColumn("rate", rate)
     bucket = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("n_docs") / BUCKET))
     row = F.struct((-F.col("size")).alias("by"), hashed.alias("tie"), "id", *extra, "size", "rate")
-    groups = rated.groupBy("key", bucket.alias("bucket")).agg(F.sort_array(F.collect_list(row)).alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    # dealt anew: else all buckets of a source would stay in the task that the join by source put them in
+    dealt = rated.withColumn("bucket", bucket).repartition(parts(docs.sparkSession), "key", "bucket")
+    groups = dealt.groupBy("key", "bucket").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     # error feedback: due and given words so far; each row takes the floor or the ceiling of its rate
     kind = f"array<struct<row:{groups.schema['rows'].dataType.elementType.simpleString()},copies:int>>"
     start = F.struct(F.lit(0.0).alias("due"), F.lit(0.0).alias("given"), F.array().cast(kind).alias("out"))
@@ -132,13 +135,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         copies = least + F.when(more, 1.0).otherwise(0.0)
         return F.struct(due.alias("due"), (acc["given"] + copies * x["size"]).alias("given"), F.concat(acc["out"], F.array(F.struct(x.alias("row"), copies.cast("int").alias("copies")))).alias("out"))
 
-    dealt = groups.select("source_size", "target", F.explode(F.aggregate("rows", start, feed)["out"]).alias("x"))
-    return dealt.select(F.col("x.row.id").alias("doc_id"), *[F.col(f"x.row.{c}").alias(c) for c in extra], F.col("x.row.size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), F.col("x.row.rate").alias("rate"), F.col("x.copies").alias("copies"), (F.col("x.copies") * F.col("x.row.size")).cast("long").alias("taken"))
+
+    def settle(acc: Column, x: Column) -> Column:
+        n, size = x["copies"], x["row"]["size"].cast("double")
+        less = F.abs(acc["left"])
+        move = F.when((n < MOST) & (F.abs(acc["left"] - size) < less), 1).when((n > 0) & (F.abs(acc["left"] + size) < less), -1).otherwise(0)
+        return F.struct((acc["left"] - move * size).alias("left"), F.concat(acc["out"], F.array(F.struct(x["row"].alias("row"), (n + move).cast("int").alias("copies")))).alias("out"))
+
+    fed = groups.withColumn("fed", F.aggregate("rows", start, feed))
+    start = F.struct((F.col("fed.due") - F.col("fed.given")).alias("left"), F.array().cast(kind).alias("out"))
+    rows = fed.select("source_size", "target", F.explode(F.aggregate("fed.out", start, settle)["out"]).alias("x"))
+    return rows.select(F.col("x.row.id").alias("doc_id"), *[F.col(f"x.row.{c}").alias(c) for c in extra], F.col("x.row.size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), F.col("x.row.rate").alias("rate"), F.col("x.copies").alias("copies"), (F.col("x.copies") * F.col("x.row.size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs. Rows with the same id and text share the larger number of copies."""
     mark = f"xxhash64({text_col}) AS mark"
-    copies = mix(docs, id_col, text_col, source_col, keep=(mark,)).groupBy("doc_id", "mark").agg(F.max("copies").alias("copies")).filter("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("mark").alias("mix_mark"), F.col("copies").alias("mix_copies"))
-    out = docs.join(copies, docs[id_col].eqNullSafe(copies["mix_id"]) & (F.xxhash64(docs[text_col]) == copies["mix_mark"]))
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[docs[c] for c in docs.columns])
+    copies = mix(docs, id_col, text_col, source_col, keep=(mark,)).groupBy("doc_id", "mark").agg(F.max("copies").alias("copies")).filter("copies > 0").select(F.col("doc_id").alias("mix_id__of_mix"), F.col("mark").alias("mix_mark__of_mix"), F.col("copies").alias("mix_copies__of_mix"))
+    out = docs.join(copies, docs[id_col].eqNullSafe(copies["mix_id__of_mix"]) & (F.xxhash64(docs[text_col]) == copies["mix_mark__of_mix"]))
+    return out.withColumn("mix_copy__of_mix", F.explode(F.sequence(F.lit(1), F.col("mix_copies__of_mix")))).select(*[docs[c] for c in docs.columns])
