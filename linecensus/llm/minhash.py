@@ -1,11 +1,12 @@
 """Near duplicates by MinHash with odd sketches.
 
 A document's set is its distinct SHINGLE-word shingles (64-bit hashes). One scan gives per
-row the set's size, its digest, BANDS band keys of ROWS minima each, and the odd sketch:
+row the set's size, its digest, band keys of a few minima each, and the odd sketch:
 the set's smallest hashes (all below 2^(64 - level), where the level leaves SAMPLES at
 most) folded by parity into BITS bits. Rows with one set form a class (exact copies never
-become pairs). Candidates share a band key; at the threshold 0.85 a pair misses all bands
-with probability (1 - 0.85^5)^25 < 1e-6. The population count of the XOR of two sketches
+become pairs). Candidates share a band key; a pair at the threshold misses all bands with
+probability (1 - 0.85^5)^25 < 1e-6, and below 0.85 there are as many bands of LOOSE_ROWS
+minima as keep that bound (27 at 0.8). The population count of the XOR of two sketches
 never exceeds the number of samples that differ, so at level 0 (up to SAMPLES shingles) a
 pair over the threshold always passes; above it the limit adds 5.5 standard deviations.
 What passes is confirmed on the full sets.
@@ -25,8 +26,9 @@ columns is read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +43,28 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 SAMPLES, BITS = 1024, 2048
 THRESHOLD = 0.85
+LOOSE_ROWS, MISS = 4, 1e-6
 BLOCK = 512
 
-_RNG = np.random.default_rng(20240229)
-_MUL = (_RNG.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32)) | np.uint32(1)
-_ADD = _RNG.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32)
-_PLACE = [int(x) | 1 for x in _RNG.integers(0, 2**63, SHINGLE, np.int64)]
-_BAND = _RNG.integers(0, 2**63, (BANDS, ROWS), np.int64).astype(np.uint64) | np.uint64(1)
+
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands, and minima in each, with which a pair at the threshold misses all bands with probability below MISS."""
+    if threshold >= THRESHOLD:
+        return BANDS, ROWS
+    return math.ceil(math.log(MISS) / math.log1p(-(threshold**LOOSE_ROWS))), LOOSE_ROWS
+
+
+@lru_cache(maxsize=4)
+def _drawn(n: int, rows: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Multipliers and addends of the minima, weights of a shingle's words, weights of a band's minima."""
+    rng = np.random.default_rng(20240229)
+    mul = (rng.integers(0, 2**32, n * rows, np.uint64).astype(np.uint32)) | np.uint32(1)
+    add = rng.integers(0, 2**32, n * rows, np.uint64).astype(np.uint32)
+    place = [int(x) | 1 for x in rng.integers(0, 2**63, SHINGLE, np.int64)]
+    return mul, add, place, rng.integers(0, 2**63, (n, rows), np.int64).astype(np.uint64) | np.uint64(1)
+
+
+_PLACE = _drawn(BANDS, ROWS)[2]
 
 
 class _Words(dict):
@@ -82,17 +99,18 @@ def shingles(text: str | None, cache: _Words | None = None, k: int = SHINGLE) ->
     return np.unique(_mix(total))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, shape: tuple[int, int] = (BANDS, ROWS)) -> np.ndarray:
+    mul, add, _, _ = _drawn(*shape)
     h = (hashes >> np.uint64(16)).astype(np.uint32)
-    out = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    out = np.full(len(mul), 2**32 - 1, np.uint32)
     for a in range(0, len(h), 512):
-        np.minimum(out, (h[a : a + 512, None] * _MUL + _ADD).min(axis=0), out=out)
+        np.minimum(out, (h[a : a + 512, None] * mul + add).min(axis=0), out=out)
     return out
 
 
-def bands(mins: np.ndarray) -> np.ndarray:
-    m = mins.astype(np.uint64).reshape(BANDS, ROWS)
-    return _mix((m * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+def bands(mins: np.ndarray, shape: tuple[int, int] = (BANDS, ROWS)) -> np.ndarray:
+    m = mins.astype(np.uint64).reshape(shape)
+    return _mix((m * _drawn(*shape)[3]).sum(axis=1, dtype=np.uint64) + np.arange(1, shape[0] + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def levels(n: np.ndarray) -> np.ndarray:
@@ -129,7 +147,7 @@ def differing(g: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndar
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    cache = _Words()
+    cache, shape = _Words(), banding(threshold)
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("upper", pa.binary())])
     for b in batches:
         for a in range(0, b.num_rows, 2000):
@@ -138,7 +156,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
             for i, text in zip(part.column(0).to_pylist(), part.column(1)):
                 h = shingles(text.as_py(), cache)
                 if len(h):
-                    out.append((i, len(h), xxhash.xxh3_128_digest(h.tobytes()), bands(minima(h)).view(np.int64), *odd_sketches(h, threshold)))
+                    out.append((i, len(h), xxhash.xxh3_128_digest(h.tobytes()), bands(minima(h, shape), shape).view(np.int64), *odd_sketches(h, threshold)))
                 else:
                     out.append((i, 0, None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)

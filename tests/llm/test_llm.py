@@ -360,3 +360,25 @@ def test_pipeline(spark, data):
     assert ids and ids <= kept and [n for n, _ in p.STAGES] == ["language", "near_dup", "secrets", "mix", "tokens"]
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs, data).columns == docs.columns
+
+
+def test_near_dup_stage_takes_pairs_from_080(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(60):
+        w = [f"w{i}x{rng.randrange(10**6)}" for _ in range(100)]
+        near, far = list(w), list(w)
+        for k in (20, 60):
+            near[k] = "new"  # 86 of 106 shingles: 0.811
+        for k in (10, 20, 60):
+            far[k] = "other"  # 81 of 111: 0.730
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+        want |= {3 * i, 3 * i + 2}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in p.near_dup(spark, df, "").collect()} == want
+    for t in (0.7, 0.8, 0.85, 0.9):
+        n, k = minhash.banding(t)
+        assert (1 - t**k) ** n < 1e-6
+    assert minhash.banding(0.85) == (25, 5)
