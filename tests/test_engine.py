@@ -69,6 +69,15 @@ def test_native_chain_equals_the_step_functions(spark, data):
         assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
 
 
+def test_native_query_counts_every_document(spark, data):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = sorted(db.execute(queries.SQL["count_files_native_all"]).fetchall())
+    got = sorted(tuple(r) for r in queries.QUERIES["count_files_native_all"](spark, data).collect())
+    assert got == want and len(got) == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
 def test_formats_agree(spark, tree, capsys):
     outs = {k: cli.main([str(tree), "--hide-rate", f"--{k}"], spark) for k in ("json", "yaml", "csv", "md", "xml")}
     assert json.loads(outs["json"])["SUM"] == {"blank": 2, "comment": 6, "code": 8, "nFiles": 3}
