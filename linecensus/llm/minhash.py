@@ -334,6 +334,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; columns as in docs."""
-    kept = classes(docs, id_col, text_col, threshold).filter("kept").select(F.col("doc_id").alias("kept_id__of_minhash")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_id__of_minhash"])).select(*[docs[c] for c in docs.columns])
+    """One row of each component of docs, that of the smallest id; columns as in docs.
+
+    Rows are compared by a key of their own: repeated rows and rows without an id are documents
+    too (null ids come last), and rows that share an id only are not taken for one document.
+    Rows without words stay.
+    """
+    key = "row__of_minhash"
+    rows = save(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    ids = rows.select(F.col(key).alias("doc_id"), F.col(id_col).cast("long").alias("own"))
+    kept = classes(rows, key, text_col, threshold).join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "doc_id"))["doc_id"].alias(key))
+    return rows.join(kept.select(key), key, "left_semi").select(*docs.columns)

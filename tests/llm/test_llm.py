@@ -382,3 +382,11 @@ def test_near_dup_stage_takes_pairs_from_080(spark):
         n, k = minhash.banding(t)
         assert (1 - t**k) ** n < 1e-6
     assert minhash.banding(0.85) == (25, 5)
+
+
+def test_kept_documents_leaves_one_row_of_each_group(spark):
+    w = [f"w{k}" for k in range(100)]
+    near, other = " ".join([*w[:50], "new", *w[51:]]), " ".join(f"o{k}" for k in range(100))
+    rows = [(5, " ".join(w)), (5, " ".join(w)), (7, near), (None, other), (None, other), (None, near), (9, "alone"), (9, "alone"), (9, "another text"), (10, None)]
+    out = minhash.kept_documents(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.8).collect()
+    assert sorted(out, key=str) == sorted([(5, " ".join(w)), (None, other), (9, "alone"), (9, "another text"), (10, None)], key=str)
