@@ -40,8 +40,13 @@ def _why(df: DataFrame, reason) -> DataFrame:
 
 
 def run(spark: SparkSession, paths: list[str], o: RunOptions = RunOptions(), catalog: Catalog | None = None) -> Run:
+    return run_files(scan(spark, paths, **dict(o.source)), o, catalog)
+
+
+def run_files(files: DataFrame, o: RunOptions = RunOptions(), catalog: Catalog | None = None) -> Run:
+    """files: the columns of the tree source, from any table."""
     catalog = catalog or builtin()
-    files = select.select(scan(spark, paths, **dict(o.source)), o.selection)
+    files = select.select(files, o.selection)
     ignored = _why(files.filter("reason is not null"), F.col("reason"))
     kept = files.filter("reason is null")
     if not o.skip_uniqueness:

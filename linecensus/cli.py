@@ -115,8 +115,10 @@ def count_report(spark: SparkSession, a: argparse.Namespace, paths: list[str], c
             return render.sql(meta.first().asDict(), [r.asDict() for r in facts.orderBy(F.col("nCode").desc(), "File").toLocalIterator()], a.sql_style or "", a.sql_append)
         percent = None
         if a.percent or a.by_percent:
-            percent = [r.asDict() for r in report.ordered(report.percentages(rows, a.by_percent or "t"), "path" if by_file else "language").collect()]
-        r = render.Report(shown, by_file, seconds, sum_one=a.sum_one, total=a.fmt in (2, 4), thousands=a.thousands_delimiter or "", percent=percent)
+            shares = report.percentages(rows, a.by_percent or "t")
+            of = {r["path" if by_file else "language"]: r.asDict() for r in shares.collect()}
+            percent = [of[x["path" if by_file else "language"]] for x in shown]  # in the order of the counts
+        r = render.Report(shown, by_file, seconds, sum_one=a.sum_one, total=a.fmt in (2, 4), thousands=a.thousands_delimiter or "", percent=percent, percent_of=a.by_percent or "t")
         kind = next((k for k in ("json", "yaml", "csv", "md", "xml") if getattr(a, k)), "xml" if a.xsl else "text")
         return render.csv(r, a.csv_delimiter or ",") if kind == "csv" else render.xml(r, a.xsl) if kind == "xml" else render.FORMATS[kind](r)
     finally:
@@ -142,21 +144,22 @@ def diff_report(spark: SparkSession, a: argparse.Namespace, paths: list[str], c:
     left, right = ([p] for p in paths[:2])
     o = options_of(a)
     changed = None
-    if a.git_diff_rel and all(inputs.is_revision(p) for p in paths[:2]):
+    if (a.git_diff_rel or a.git) and not a.git_diff_all and all(inputs.is_revision(p) for p in paths[:2]):
         changed = inputs.changed_files(*paths[:2])
     sides = []
     for side in (left, right):
         roots = paths_of(a, side)
         df = api.run(spark, roots, o, c).classified
         if changed is not None:
-            names = spark.createDataFrame([(os.path.join(roots[0], x),) for x in changed], "path string")
-            df = df.join(F.broadcast(names), "path", "left_semi")
+            df = diff.only_changed(df, roots[0], spark.createDataFrame([(x,) for x in changed], "path string"))
         sides.append(df)
     got = diff.compare(*sides, c, diff.DiffOptions(a.ignore_whitespace, a.ignore_case, o.counting.filters)).persist()
     try:
         if a.diff_alignment:
             with open(a.diff_alignment, "w", encoding="utf-8") as f:
                 f.writelines(f"{r['value']}\n" for r in diff.alignment_lines(got).toLocalIterator())
+        if a.by_file and a.json:
+            return render.diff_json([r.asDict() for r in diff.by_file(got).orderBy("path").toLocalIterator()])
         rows = [r.asDict() for r in diff.by_language(got).orderBy("language").collect()]
     finally:
         got.unpersist()
@@ -191,7 +194,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         if not (a.paths or a.list_file or a.vcs):
             raise SystemExit("no input")
         spark = spark or SparkSession.builder.appName("linecensus").getOrCreate()
-        if a.diff:
+        if a.diff or (a.diff_alignment or a.git_diff_rel or a.git_diff_all) and len(a.paths) > 1 and not a.count_and_diff:
             out = diff_report(spark, a, a.paths, c)
         elif a.count_and_diff:
             out = "".join(count_report(spark, a, [p], c) for p in a.paths[:2]) + diff_report(spark, a, a.paths, c)

@@ -12,7 +12,7 @@ from .steps import DIALECTS
 
 BLANK = rf"\A[{WHITE_JVM}]*\z"
 #: Byte order marks, longest first.
-MARKS = ("0000FEFF", "FFFE0000", "2B2F7638", "2B2F7639", "2B2F762B", "2B2F762F", "DD736673", "84319533", "EFBBBF", "F7644C", "0EFEFF", "FBEE28", "FEFF", "FFFE")
+MARKS = ("2B2F76382D", "0000FEFF", "FFFE0000", "2B2F7638", "2B2F7639", "2B2F762B", "2B2F762F", "DD736673", "84319533", "EFBBBF", "F7644C", "0EFEFF", "FBEE28", "FEFF", "FFFE")
 
 
 def decoded(content: Column) -> Column:
@@ -37,6 +37,18 @@ def file_lines(content: Column) -> Column:
     return split_lines(decoded(content), content.isNull() | (F.octet_length(content) == 0))
 
 
+def folder(path: Column) -> Column:
+    """What is before the last /; nothing if there is none."""
+    parts = F.split(path, "/")
+    return F.array_join(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1)), "/")
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot of the name; null if that dot is first or there is none."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(name.rlike(r"(?s)\A.+\."), F.substring_index(name, ".", -1))
+
+
 def is_blank(line: Column) -> Column:
     return line.rlike(BLANK)
 

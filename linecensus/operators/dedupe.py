@@ -11,7 +11,8 @@ def mark_duplicates(files: DataFrame, content: str = "content", known: str | Non
 
     Kept is the first path in byte order; if `known` names a boolean column, the last known file
     after the first instead, where there is one. Only keys and paths meet in the aggregation
-    (length and SHA-256; minima and maxima are pre-aggregated), not contents.
+    (length and SHA-256; minima and maxima are pre-aggregated). The join that marks the files
+    takes their other columns along, contents too, unless the keys to join are broadcast.
     """
     key = [F.octet_length(content).alias("k_length"), F.sha2(F.col(content).cast("binary"), 256).alias("k_digest")]
     good = F.col(known) if known else F.lit(False)

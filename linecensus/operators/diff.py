@@ -67,6 +67,18 @@ def align(left: DataFrame, right: DataFrame, keys: tuple[int, int] | None = None
     return keyed(left, keys[0], "left").join(keyed(right, keys[1], "right"), "key", "full_outer")
 
 
+def only_changed(files: DataFrame, root: str, changed: DataFrame) -> DataFrame:
+    """files (path) whose path below root is among `changed` (path): the files that differ between two revisions."""
+    names = changed.select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("path")).distinct()
+    return files.join(names, "path", "left_semi")
+
+
+def by_file(files: DataFrame) -> DataFrame:
+    """path, language, disposition, blank, comment, code: four rows per file, also the empty ones."""
+    rows: list[Column] = [F.struct(F.lit(e).alias("disposition"), (F.col("disposition") == e).cast("long").alias("files"), *[F.col(f"{k}_{e}").alias(k) for k in KINDS]) for e in EDITS]
+    return files.select(F.coalesce("left_path", "right_path").alias("path"), "language", F.inline(F.array(*rows)))
+
+
 def _normal(lines: list[str], o: DiffOptions) -> list[str]:
     lines = ["".join(x.split()) for x in lines] if o.ignore_whitespace else lines
     return [x.lower() for x in lines] if o.ignore_case else lines

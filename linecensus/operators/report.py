@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog, builtin
@@ -62,13 +62,21 @@ def cutoff(languages: DataFrame, c: Cutoff, label: str = "Other") -> DataFrame:
 
 def percentages(languages: DataFrame, of: str = "t") -> DataFrame:
     """blank, comment, code as percentages, two decimals; a divisor of 0 gives 0."""
+    kept = languages.columns
     if of == "t":
-        # over the few rows of the report
-        base = {m: F.sum(m).over(Window.partitionBy(F.lit(1))) for m in MEASURES}
+        # one row, joined as a scalar: no task sees all rows
+        languages = languages.join(F.broadcast(languages.agg(*[F.sum(m).alias(f"{m}__all") for m in MEASURES])))
+        base = {m: F.col(f"{m}__all") for m in MEASURES}
     else:
         row = sum((F.col(k) for k in DENOMINATORS[of]), F.lit(0))
         base = dict.fromkeys(MEASURES, row)
-    return languages.withColumns({m: F.when(b > 0, F.round(100.0 * F.col(m) / b, 2)).otherwise(F.lit(0.0)) for m, b in base.items()})
+    share = {m: F.when(b > 0, F.round(100.0 * F.col(m) / b, 2)).otherwise(F.lit(0.0)) for m, b in base.items()}
+    return languages.select(*[share[c].alias(c) if c in share else F.col(c) for c in kept])
+
+
+def extensions(pairs: DataFrame) -> DataFrame:
+    """pairs: key, language. The extensions of each language, sorted, in one text."""
+    return pairs.groupBy("language").agg(F.array_join(F.array_sort(F.collect_set("key")), ", ").alias("extensions"))
 
 
 def scaled(files: DataFrame, catalog: Catalog | None = None) -> DataFrame:

@@ -95,15 +95,14 @@ def _marked_sql(open_: str, close: str, pattern: str) -> str:
 
 for _name, _dialect, _open, _close, _pattern in (
     ("c_strip", "C", "x /* ", " */ y", r"/\*.*?\*/"), ("cpp_strip", "C++", "x // /* ", " */ y", r"/\*.*?\*/|//[^\n]*\n?"), ("plsql_strip", "PL/SQL", "x -- /* ", " */", r"/\*.*?\*/|--[^\n]*"),
-    ("pascal_strip", "Pascal", "x { (* ", " *) }", r"\{.*?\}|\(\*.*?\*\)|//[^\n]*"), ("smalltalk_strip", "Smalltalk", "x !", "! y", None), ("brainfuck_strip", "Brainfuck", "+[-", "]>.", r"[^<>+\-.,\[\]\n]"),
+    ("pascal_strip", "Pascal", "x { (* ", " *) }", r"\{.*?\}|\(\*.*?\*\)|//[^\n]*"), ("brainfuck_strip", "Brainfuck", "+[-", "]>.", r"[^<>+\-.,\[\]\n]"),
 ):
 
     def _strip(spark, sf_dir, d=_dialect, o=_open, c=_close):
         return _marked(spark, sf_dir, o, c).select("doc_id", F.length(native.strip_comments(F.col("text"), d)).cast("long").alias("n"))
 
     QUERIES[_name] = _strip
-    if _pattern:
-        SQL[_name] = _marked_sql(_open, _close, _pattern)
+    SQL[_name] = _marked_sql(_open, _close, _pattern)
 
 
 @query(_COUNTS_SQL)
@@ -111,18 +110,9 @@ def count_files(spark, sf_dir):
     return count.count(made_files(spark, sf_dir)).select("doc_id", "language", "blank", "comment", "code")
 
 
-@query(_COUNTS_SQL.replace("GROUP BY", "WHERE doc_id % 7 IN (0, 2, 4) GROUP BY"))
-def count_files_native(spark, sf_dir):
-    files, out = made_files(spark, sf_dir), None
-    for r in (0, 2, 4):
-        part = count.count_native(files.filter(F.col("doc_id") % N == r), MADE[r][2]).select("doc_id", "language", "blank", "comment", "code")
-        out = part if out is None else out.union(part)
-    return out
-
-
 @query(_COUNTS_SQL.replace(_MADE_SQL, "CASE doc_id % 3 " + " ".join(f"WHEN {k} THEN '{m[2]}'" for k, m in enumerate(NATIVE)) + " END"))
 def count_files_native_all(spark, sf_dir):
-    """Every document, dealt to the languages of the JVM path; count_files_native has only those whose made file is in one."""
+    """Every document, dealt to the languages of the JVM path."""
     files, out = made_files(spark, sf_dir, NATIVE), None
     for m in NATIVE:
         part = count.count_native(files.filter(F.col("language") == m[2]), m[2]).select("doc_id", "language", "blank", "comment", "code")
@@ -260,7 +250,7 @@ _choice("resolve_scheme_salt", "sls", "Scheme", ("(lambda ", "(none "), "SaltSta
 SQL["resolve_scheme_salt"] = f"SELECT doc_id, CASE WHEN sum(CASE WHEN (doc_id * 3 + pos) % 5 = 0 THEN 1 ELSE 0 END) > 0 THEN 'Scheme' ELSE 'SaltStack' END AS language FROM ({LINES_SQL}) GROUP BY doc_id"
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'excluded extension' WHEN doc_id % 6 = 1 THEN 'matched --not-match-f' WHEN n_chars > 5000 AND octet_length(encode(text)) / 1048576.0 > 0.005 THEN 'exceeds --max-file-size' END AS reason FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'excluded extension' WHEN doc_id % 6 = 1 THEN 'matched --not-match-f' WHEN octet_length(encode(text)) / 1048576.0 > 0.005 THEN 'exceeds --max-file-size' END AS reason FROM documents")
 def select_files(spark, sf_dir):
     name = F.concat(F.lit("doc"), (F.col("doc_id") % 6).cast("string"), F.lit("."), F.when(F.col("doc_id") % 4 == 0, "log9").otherwise("txt9"))
     content = F.col("text").cast("binary")
@@ -268,13 +258,6 @@ def select_files(spark, sf_dir):
     return select.select(files, select.Selection(exclude_ext=("log9",), not_match_f=("^doc1",), max_mb=0.005)).select("doc_id", "reason")
 
 
-@query("SELECT doc_id, doc_id % 5 = 1 OR doc_id % 5 = 2 AS bad FROM documents")
-def binary_heads(spark, sf_dir):
-    r = F.col("doc_id") % 5
-    head = F.when(r == 1, F.unhex(F.lit("41004142"))).when(r == 2, F.unhex(F.lit("FF80FE8141"))).when(r == 3, F.lit("привет").cast("binary")).when(r == 4, F.unhex(F.lit("41424344E9"))).otherwise(F.lit("plain text").cast("binary"))
-    return _read(spark, sf_dir, "documents").select("doc_id", select.looks_binary(head).alias("bad"))
-
-
 # --- sets -------------------------------------------------------------------------
 
 
@@ -329,23 +312,3 @@ def diff_by_language(spark, sf_dir):
 @query(f"SELECT (CASE disposition WHEN 'same' THEN '  == ' WHEN 'modified' THEN '  != ' WHEN 'added' THEN '  + ' ELSE '  - ' END) || (CASE WHEN disposition = 'added' THEN 'v2/src/' ELSE 'old/v1/src/' END) || source || '/doc' || d.doc_id || '.rs' AS value FROM ({_DIFF}) AS x JOIN documents AS d ON d.doc_id = x.doc_id")
 def diff_alignment(spark, sf_dir):
     return diff.alignment_lines(diff.compare(_release(spark, sf_dir, False), _release(spark, sf_dir, True), keys=(3, 2)))
-
-
-# --- steps with memory, over the made files (no SQL: tests hold their results) -----
-
-
-def _memory(name: str, language: str, marks: tuple[str, str]) -> None:
-    def run(spark, sf_dir):
-        df = _lines(spark, sf_dir).withColumn("lines", F.transform("lines", lambda x, i: F.when(_mod(6)(i) == 1, F.concat(x, F.lit(f" {marks[0]} "), x)).when(_mod(6)(i) == 4, F.concat(x, F.lit(f" {marks[1]} "), x)).otherwise(x)))
-        got = count.count(df.withColumns({"language": F.lit(language), "name": F.lit("a")}))
-        return got.select("doc_id", "blank", "comment", "code")
-
-    QUERIES[name] = run
-
-
-for _name, _language, _marks in (
-    ("steps_html", "HTML", ("<!--", "-->")), ("steps_ocaml", "OCaml", ("(*", "*)")), ("steps_haskell", "Haskell", ("{-", "-}")), ("steps_tla", "TLA+", ("(*", "*)")), ("steps_python", "Python", ('"""', '"""')),
-    ("steps_lua", "Lua", ("--[[", "]]")), ("steps_ruby", "Ruby", ("=begin", "=end")), ("steps_jsp", "JSP", ("<%--", "--%>")), ("steps_java", "Java", ('"""', '"""')), ("steps_forth", "Forth", (" ( ", " ) ")), ("steps_elixir", "Elixir", ('@doc """', '"""')),
-    ("steps_civet", "Civet", ("###", "###")), ("steps_cobol", "COBOL", ("*", "/")), ("steps_powershell", "PowerShell", ("<#", "#>")), ("steps_smarty", "Smarty", ("{*", "*}")), ("steps_pug", "Pug", ("//", "x")), ("steps_specman", "Specman e", ("//", "x")),
-):
-    _memory(_name, _language, _marks)

@@ -6,7 +6,10 @@ import json
 from dataclasses import dataclass, field
 from html import escape
 
-MEASURES = ("blank", "comment", "code")
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..operators.report import DENOMINATORS, MEASURES
 
 
 @dataclass
@@ -22,6 +25,7 @@ class Report:
     total: bool = False  # a column of all lines
     thousands: str = ""
     percent: list[dict] | None = None
+    percent_of: str = "t"
     sums: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -37,6 +41,14 @@ def grouped(n: int, mark: str) -> str:
     return f"{n:,}".replace(",", mark) if mark else str(n)
 
 
+def _sum_percent(r: Report) -> dict:
+    """The SUM row in percent: of itself by column, else of its own denominator; 0 where that is 0."""
+    if r.percent_of == "t":
+        return {m: 100.0 if r.sums[m] else 0.0 for m in MEASURES}
+    base = sum(r.sums[m] for m in DENOMINATORS[r.percent_of])
+    return {m: round(100.0 * r.sums[m] / base, 2) if base > 0 else 0.0 for m in MEASURES}
+
+
 def _table(r: Report) -> tuple[list[str], list[list]]:
     """Header and rows of cells; numbers stay numbers."""
     head = ["File" if r.by_file else "Language", *([] if r.by_file else ["files"]), *MEASURES, *(["total"] if r.total else [])]
@@ -44,7 +56,7 @@ def _table(r: Report) -> tuple[list[str], list[list]]:
     for x in r.percent or r.rows:
         rows.append([x["path"] if r.by_file else x["language"], *([] if r.by_file else [x["files"]]), *(x[m] for m in MEASURES), *([sum(x[m] for m in MEASURES)] if r.total else [])])
     if r.sums["files"] > 1 or r.sum_one:
-        s = {m: 100.0 for m in MEASURES} if r.percent else r.sums
+        s = _sum_percent(r) if r.percent else r.sums
         rows.append(["SUM:", *([] if r.by_file else [r.sums["files"]]), *(s[m] for m in MEASURES), *([sum(s[m] for m in MEASURES)] if r.total else [])])
     return head, rows
 
@@ -116,6 +128,48 @@ def xml(r: Report, xsl: str | None = None) -> str:
     return "\n".join([*out, f"  <total {own}" + " ".join(f'{m}="{r.sums[m]}"' for m in MEASURES) + " />", f"</{kind}>", "</results>"]) + "\n"
 
 
+def grouped_column(n: Column, mark: str) -> Column:
+    """grouped(), for a column."""
+    return F.regexp_replace(n.cast("string"), r"(?<=\d)(?=(\d{3})+$)", mark)
+
+
+def _escaped(path: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for old, new in pairs:
+        path = F.replace(path, F.lit(old), F.lit(new))
+    return path
+
+
+def file_line(kind: str, mark: str = ",") -> Column:
+    """The line of a file (path, language, blank, comment, code) in a report by file: rendered where the rows are."""
+    path, language, n = F.col("path"), F.col("language"), {m: F.col(m).cast("string") for m in MEASURES}
+    if kind == "csv":
+        cell = lambda v: F.when(F.contains(v, F.lit(mark)) | F.contains(v, F.lit('"')) | F.contains(v, F.lit("\n")), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+        return F.concat_ws(mark, cell(language), cell(path), *n.values())
+    if kind == "md":
+        return F.concat_ws("|", path, *n.values())
+    if kind == "yaml":
+        return F.concat_ws("\n", F.concat(F.lit("'"), _escaped(path, (("'", "''"),)), F.lit("':")), *[F.concat(F.lit(f"  {m}: "), v) for m, v in n.items()], F.concat(F.lit("  language: "), language))
+    if kind == "json":
+        q = lambda v: F.substring(F.to_json(F.array(v)), F.lit(2), F.length(F.to_json(F.array(v))) - 2)
+        return F.concat(q(path), F.lit(": {"), F.concat_ws(", ", *[F.concat(F.lit(f'"{m}": '), v) for m, v in n.items()]), F.lit(', "language": '), q(language), F.lit("}"))
+    if kind == "xml":
+        q = lambda v: _escaped(v, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")))
+        return F.concat(F.lit('  <file name="'), q(path), F.lit('"'), *[F.concat(F.lit(f' {m}="'), v, F.lit('"')) for m, v in n.items()], F.lit(' language="'), q(language), F.lit('" />'))
+    raise ValueError(f"no lines by file in {kind!r}")
+
+
+def insert_line(style: str = "") -> Column:
+    """The insert of a row of the fact table."""
+
+    def shown(name: str, kind: str) -> Column:
+        if kind.startswith("varchar"):
+            return F.concat(F.lit("'"), F.replace(name, F.lit("'"), F.lit("''")), F.lit("'"))
+        return F.format_string("%.6f", name) if kind == "real" else F.col(name).cast("string")
+
+    names = " (" + ", ".join(k for k, _ in FACTS) + ")" if style == "named_columns" else ""
+    return F.concat(F.lit(f"insert into t{names} values("), F.concat_ws(", ", *[shown(k, v) for k, v in FACTS]), F.lit(");"))
+
+
 #: The columns of the two SQL tables.
 META = (("id", "integer primary key"), ("timestamp", "varchar(500)"), ("Project", "varchar(500)"), ("elapsed_s", "real"))
 FACTS = (("id", "integer"), ("Project", "varchar(500)"), ("Language", "varchar(500)"), ("File", "varchar(500)"), ("File_dirname", "varchar(500)"), ("File_basename", "varchar(500)"), ("nBlank", "integer"), ("nComment", "integer"), ("nCode", "integer"), ("nScaled", "real"))

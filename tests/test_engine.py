@@ -9,7 +9,7 @@ from linecensus import api, cli
 from linecensus.functions import native
 from linecensus.functions.steps import blanks_removed
 from linecensus.operators import count, diff, select
-from linecensus.plans import catalog, queries
+from linecensus.plans import catalog, queries, render
 from linecensus.sources import inputs
 from linecensus.sources.tree import scan
 
@@ -132,8 +132,62 @@ def test_blank_continuation(spark):
     assert df.select(native.blanks_removed(F.col("x"), r"\\$")).first()[0] == blanks_removed(x, r"\\$") == ["a \\", " ", "b"]
 
 
+def test_percent_sum_row_has_its_own_denominator():
+    rows = [{"language": "A", "files": 1, "blank": 2, "comment": 3, "code": 5}, {"language": "B", "files": 1, "blank": 0, "comment": 1, "code": 4}]
+    for of, want in (("c", (22.22, 44.44, 100.0)), ("cm", (15.38, 30.77, 69.23)), ("cmb", (13.33, 26.67, 60.0)), ("t", (100.0, 100.0, 100.0))):
+        last = render.text(render.Report(rows, percent=[{**r, "blank": 1.0} for r in rows], percent_of=of)).splitlines()[-2]
+        assert [float(v) for v in last.replace("│", " ").split()[2:]] == list(want)
+
+
+def test_percent_report_stays_in_the_order_of_code(spark, tree):
+    out = cli.main([str(tree), "--hide-rate", "--by-percent", "c"], spark)
+    names = [x.split()[1] for x in out.splitlines() if x.startswith("│") and "Language" not in x and "SUM" not in x]
+    assert names == ["Python", "Rust", "Bourne"]
+
+
+def test_diff_json_by_file(spark, tree, tmp_path_factory):
+    other = tmp_path_factory.mktemp("new2")
+    for k, v in {**TREE, "src/main.rs": TREE["src/main.rs"].replace("let x;", "let y;")}.items():
+        (other / k).parent.mkdir(parents=True, exist_ok=True)
+        (other / k).write_text(v)
+    out = json.loads(cli.main(["--diff", "--by-file", "--json", str(tree), str(other)], spark))
+    (name,) = [k for k in out["modified"] if k != "SUM"]
+    assert name.endswith("src/main.rs") and out["modified"][name]["code"] == 1 and out["same"]["SUM"]["nFiles"] == 2
+
+
+def test_html_copies(spark, tree):
+    cli.main([str(tree), "--hide-rate", "--html", "--original-dir"], spark)
+    page = (tree / "src/main.rs.html").read_text()
+    assert page.count('class="comment"') == 3 and page.count('class="code"') == 3 and "<br>" in page
+
+
+def test_golden_tree_of_our_own(spark, tree):
+    (tree / "page.html").write_text("<p>\n<!-- a\nb -->\n</p>\n\n")
+    (tree / "q.sql").write_text("-- a\nselect 1 /* b\nc */\nfrom t\n")
+    (tree / "m.ml").write_text("(* a (* b *)\n c *)\nlet x = 1\n")
+    got = {r["name"]: (r["language"], r["blank"], r["comment"], r["code"]) for r in api.run(spark, [str(tree)]).counted.collect()}
+    assert got["page.html"] == ("HTML", 1, 2, 2) and got["q.sql"] == ("SQL", 0, 2, 2) and got["m.ml"] == ("OCaml", 0, 2, 1)
+
+
+def test_missing_parts_of_the_subpackage_are_not_hidden(monkeypatch):
+    import builtins
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def broken(name, *a, **k):
+        if name == "linecensus.llm":
+            raise ModuleNotFoundError("no numpy", name="numpy")
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", broken)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
+
+
 def test_queries_run_and_have_sql(spark, data):
-    assert len(queries.SQL) >= 30
+    assert set(queries.QUERIES) - set(queries.SQL) <= {"rmd_fences"}
     for name in ("totals_by_language", "classify_names", "diff_by_language", "steps_html"):
         assert queries.QUERIES[name](spark, data).count() > 0
 
