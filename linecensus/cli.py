@@ -54,7 +54,7 @@ def split_list(text: str | None) -> tuple[str, ...]:
 
 def catalog_of(a: argparse.Namespace) -> catalogs.Catalog:
     c = catalogs.builtin()
-    read = lambda f: catalogs.parse(open(f, encoding="utf-8").read())
+    read = lambda f: (catalogs.from_json if f.endswith(".json") else catalogs.parse)(open(f, encoding="utf-8").read())
     c = c.replaced(read(a.force_lang_def)) if a.force_lang_def else c
     c = c.merged(read(a.read_lang_def)) if a.read_lang_def else c
     for text in a.force_lang:
@@ -81,7 +81,7 @@ def paths_of(a: argparse.Namespace, paths: list[str]) -> list[str]:
     """Listed, exported, unpacked or version-controlled inputs as paths."""
     paths = [*paths, *(inputs.list_file(a.list_file) if a.list_file else [])]
     if a.git or a.git_diff_rel or a.git_diff_all or a.diff or a.count_and_diff:
-        paths = [inputs.export(p) if not os.path.exists(p) and inputs.is_revision(p) else p for p in paths]
+        paths = [inputs.export(p, to=inputs.numbered(a.sdir)) if not os.path.exists(p) and inputs.is_revision(p) else p for p in paths]
     if a.skip_archive:
         import re
 
@@ -93,8 +93,16 @@ def paths_of(a: argparse.Namespace, paths: list[str]) -> list[str]:
     return paths
 
 
+def _shared(spark: SparkSession, a: argparse.Namespace, paths: list[str]) -> None:
+    """Unpacked files must be where executors see them: on a cluster --sdir has to name such a folder."""
+    unpacks = a.extract_with or any(inputs.archive_kind(p) for p in paths) or any(not os.path.exists(p) for p in paths)
+    if unpacks and not a.sdir and not spark.sparkContext.master.startswith("local"):
+        raise SystemExit("archives and revisions need --sdir, a folder that all executors share")
+
+
 def count_report(spark: SparkSession, a: argparse.Namespace, paths: list[str], c: catalogs.Catalog) -> str:
     began = time.time()
+    _shared(spark, a, paths)
     out = api.run(spark, paths_of(a, paths), options_of(a), c)
     counted = out.counted.persist()  # rendered more than once
     try:
@@ -141,6 +149,7 @@ def write_html(classified: DataFrame, c: catalogs.Catalog, o: api.RunOptions, be
 
 
 def diff_report(spark: SparkSession, a: argparse.Namespace, paths: list[str], c: catalogs.Catalog) -> str:
+    _shared(spark, a, paths)
     left, right = ([p] for p in paths[:2])
     o = options_of(a)
     changed = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import pkgutil
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -86,6 +87,48 @@ class Catalog:
         return spark.createDataFrame([(k,) for k in sorted(got)], "key string")
 
 
+def _step(words: list[str], where: str) -> tuple[str, list[str]]:
+    """A filter of a chain, checked: a known name with all its arguments."""
+    name, *args = words or [""]
+    if name not in STEPS:
+        raise DefinitionError(f"{where}: unknown filter {name}")
+    if len(args) < ARITY.get(name, 0):
+        raise DefinitionError(f"{where}: {name} needs {ARITY[name]} arguments")
+    return name, args
+
+
+#: The tables of a catalogue in JSON.
+TABLES = {"extensions": "language_by_extension", "scripts": "language_by_script", "names": "language_by_file_type", "prefixes": "language_by_prefix"}
+
+
+def from_json(text: str) -> Catalog:
+    """A catalogue from JSON: the tables by key, filters_by_language (lists of a name and its arguments), scale_factor,
+    eol_continuation_re, extension_collision (choice -> extensions), not_code_extension and not_code_filename."""
+    try:
+        raw = json.loads(text)
+    except ValueError as e:
+        raise DefinitionError(f"not JSON: {e}") from e
+    if not isinstance(raw, dict):
+        raise DefinitionError("a catalogue is a JSON object")
+    tables = {}
+    for own, key in TABLES.items():
+        tables[own] = raw.get(key, {})
+        if not isinstance(tables[own], dict) or not all(isinstance(v, str) for v in tables[own].values()):
+            raise DefinitionError(f"{key}: not an object of texts")
+    tables["extensions"] = tables["extensions"] | {e: choice for choice, es in raw.get("extension_collision", {}).items() for e in es}
+    chains, scales, ends = (raw.get(k, {}) for k in ("filters_by_language", "scale_factor", "eol_continuation_re"))
+    names = {*chains, *scales, *ends, *(v for t in tables.values() for v in t.values())}
+    languages = {n: Language(n, [_step(list(map(str, f)), n) for f in chains.get(n, [])], float(scales[n]) if n in scales else None, ends.get(n)) for n in sorted(names)}
+    return Catalog(languages, **tables, not_code_extensions=set(raw.get("not_code_extension", [])), not_code_names=set(raw.get("not_code_filename", [])))
+
+
+def to_json(catalog: Catalog) -> str:
+    """What from_json reads."""
+    own = catalog.languages.values()
+    raw = {key: getattr(catalog, t) for t, key in TABLES.items()} | {"filters_by_language": {v.name: [[n, *a] for n, a in v.chain] for v in own}, "scale_factor": {v.name: v.scale for v in own if v.scale is not None}, "eol_continuation_re": {v.name: v.continuation for v in own if v.continuation}}
+    return json.dumps(raw | {"not_code_extension": sorted(catalog.not_code_extensions), "not_code_filename": sorted(catalog.not_code_names)}, indent=1, sort_keys=True, ensure_ascii=False)
+
+
 def parse(text: str) -> Catalog:
     """Definitions: a language at the line's start, its properties indented; # starts a comment line."""
     out, now = Catalog(not_code_extensions=set(), not_code_names=set()), None
@@ -100,12 +143,7 @@ def parse(text: str) -> Catalog:
         if now is None:
             raise DefinitionError(f"line {number}: {key} before any language")
         if key == "filter":
-            name, *args = value.split()
-            if name not in STEPS:
-                raise DefinitionError(f"line {number}: unknown filter {name}")
-            if len(args) < ARITY.get(name, 0):
-                raise DefinitionError(f"line {number}: {name} needs {ARITY[name]} arguments")
-            now.chain.append((name, args))
+            now.chain.append(_step(value.split(), f"line {number}"))
         elif key in PROPERTIES:
             getattr(out, PROPERTIES[key])[value] = now.name
         elif key == "3rd_gen_scale":

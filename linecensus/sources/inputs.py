@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shlex
+import shutil
 import subprocess
 import tarfile
 import tempfile
@@ -46,6 +47,22 @@ def unpack(path: str, to: str, template: str | None = None) -> None:
         raise ValueError(f"{path}: not an archive")
 
 
+def numbered(folder: str | None) -> str | None:
+    """The next unused numbered folder below `folder`, empty."""
+    if not folder:
+        return None
+    k = next(k for k in range(1, 1 << 30) if not os.path.exists(os.path.join(folder, str(k))) or os.path.join(folder, str(k)) not in _given)
+    to = os.path.join(folder, str(k))
+    shutil.rmtree(to, ignore_errors=True)
+    os.makedirs(to)
+    _given.add(to)
+    return to
+
+
+#: Numbered folders of this run: an older run's are cleared and used again.
+_given: set[str] = set()
+
+
 def expanded(paths: list[str], folder: str | None = None, template: str | None = None) -> list[str]:
     """Archives among the paths replaced by folders of their contents; archives within are unpacked too, and removed."""
     out = []
@@ -53,7 +70,7 @@ def expanded(paths: list[str], folder: str | None = None, template: str | None =
         if not os.path.isfile(p) or not (template or archive_kind(p)):
             out.append(p)
             continue
-        to = tempfile.mkdtemp(prefix="linecensus-", dir=folder)
+        to = numbered(folder) or tempfile.mkdtemp(prefix="linecensus-")
         unpack(p, to, template)
         while inner := sorted(str(f) for f in Path(to).rglob("*") if f.is_file() and archive_kind(f.name)):
             for f in inner:

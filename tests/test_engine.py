@@ -202,6 +202,25 @@ def test_stream(spark, tmp_path):
     assert spark.table("totals").first().asDict() == {"language": "Rust", "files": 1, "blank": 0, "comment": 1, "code": 1}
 
 
+def test_json_catalogue_round_trip_and_errors():
+    c = catalog.builtin()
+    again = catalog.from_json(catalog.to_json(c))
+    assert again.languages == c.languages and again.extensions == c.extensions and again.names == c.names and again.scripts == c.scripts and again.not_code_extensions == c.not_code_extensions
+    got = catalog.from_json('{"extension_collision": {"A/B": ["x"]}, "filters_by_language": {"A/B": [["die"]]}, "not_code_extension": ["x", "y"]}')
+    assert got.extensions == {"x": "A/B"} and got.languages["A/B"].pseudo and got.not_code_extensions == {"y"}
+    for bad in ("[", "[]", '{"filters_by_language": {"A": [["no_such_step"]]}}', '{"filters_by_language": {"A": [["remove_matches"]]}}', '{"language_by_extension": {"x": 1}}'):
+        with pytest.raises(catalog.DefinitionError):
+            catalog.from_json(bad)
+
+
+def test_numbered_folders_are_cleared(tmp_path, tree):
+    subprocess.run(["tar", "czf", tmp_path / "t.tgz", "-C", tree, "src"], check=True)
+    (tmp_path / "s" / "1").mkdir(parents=True)
+    (tmp_path / "s" / "1" / "old.py").write_text("x")
+    a, b = (inputs.expanded([str(tmp_path / "t.tgz")], str(tmp_path / "s"))[0] for _ in "ab")
+    assert a.endswith("s/1") and b.endswith("s/2") and not os.path.exists(f"{a}/old.py") and os.path.exists(f"{b}/src/main.rs")
+
+
 def test_dimensions(spark):
     c = catalog.builtin()
     assert c.frame(spark, "extensions").count() == len(c.extensions) and c.frame(spark, "languages").count() == len(c.languages)
