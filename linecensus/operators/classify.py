@@ -31,9 +31,9 @@ def _lookup(df: DataFrame, catalog: Catalog, table: str, key: str, out: str) ->
 
 def interpreter(line: Column) -> Column:
     """Of a #! line: the program's base name; env's first word that sets no variable."""
-    words = F.filter(F.split(F.substring(line, 3, 4096), r"[\s]+"), lambda w: w != "")
+    words = F.filter(F.split(F.substring(line, 3, 2**31 - 1), r"[\s]+"), lambda w: w != "")
     base = F.element_at(F.split(F.get(words, F.lit(0)), "/"), -1)
-    named = F.get(F.filter(F.slice(words, 2, 64), lambda w: ~w.contains("=")), F.lit(0))
+    named = F.get(F.filter(F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 1)), lambda w: ~w.contains("=")), F.lit(0))
     return F.when(line.startswith("#!"), F.when(base == "env", F.element_at(F.split(named, "/"), -1)).otherwise(base))
 
 
