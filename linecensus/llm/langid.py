@@ -2,9 +2,10 @@
 
 Training counts every 3- and 4-gram of the learning rows per language (partial counts per
 task, then sums in Spark). A gram belongs to a language if its share there is at least
-SHARE of its largest share in any language; at most about GRAMS of the commonest stay per
-language. Each kept gram sets its language's bit at HASHES places of a table of bit masks:
-one AND of the masks at a gram's places returns all languages that hold the gram. A text's
+SHARE of its largest share in any language and at least RATE. (RATE is a share, so it acts
+alike at every size of input, and bounds a language's grams by 1 / RATE; the table has
+room for them all.) Each kept gram sets its language's bit at HASHES places of a table of
+bit masks: one AND of the masks at a gram's places returns all languages that hold the gram. A text's
 languages are then compared by popcounts over its grams, corrected for the false positives
 that each language's fill makes: (hits - f * n) / (1 - f).
 
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_arrow, save
 
 SHARE = 0.25
-GRAMS = 40_000
-LOG2 = 20
+RATE = 2.5e-6
+LOG2 = 20  # of the places, at least
+ROOM = 8  # places for each gram of the largest language, at least
 HASHES = 3
 PIECE = 1_000_000
 FOLDS, HELD_OUT = 4, 2
@@ -127,7 +129,7 @@ def _places(g: np.ndarray, log2: int) -> list[np.ndarray]:
 
 
 class Model:
-    """langs; masks: (words, 2^LOG2) of uint64; rates: false positives of each language."""
+    """langs; masks: (words, places) of uint64; rates: false positives of each language."""
 
     def __init__(self, langs: list[str], masks: np.ndarray, first: int) -> None:
         self.langs, self.masks, self.first = langs, masks, first
@@ -169,8 +171,11 @@ class Model:
         return langs, np.where(n > 0, score, 0.0).tolist()
 
 
-def learn(rows: DataFrame, share: float = SHARE, most: int = GRAMS, log2: int = LOG2) -> Model:
-    """rows: lang, text. Counts cover all rows; what comes to the driver is a row per language, per level, and the filter."""
+def learn(rows: DataFrame, share: float = SHARE, least: float = RATE, log2: int = LOG2) -> Model:
+    """rows: lang, text. Counts cover all rows; what comes to the driver is a row per language, and the filter.
+
+    The number of languages is that of distinct `lang` values; the filter has 2^22 masks at most for each 64.
+    """
     rows = rows.filter("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = save(map_arrow(rows, _counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -178,30 +183,18 @@ def learn(rows: DataFrame, share: float = SHARE, most: int = GRAMS, log2: int =
     langs = [k for k, _ in known]
     if not langs:
         return Model([], np.zeros((1, 1 << log2), np.uint64), 0)
-    rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total")).filter(F.col("rate") >= least)
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
-    kept = save(rated.join(best, "gram").filter(F.col("rate") >= share * F.col("best")).withColumn("level", F.floor(F.log2("n") * 8).cast("int")).select("lang", "gram", "level"), "kept")
-    levels: dict[str, list] = {}
-    for r in kept.groupBy("lang", "level").count().collect():
-        levels.setdefault(r["lang"], []).append((r["level"], r["count"]))
-    floor = {}
-    for lang, have in levels.items():
-        left, low = most, None
-        for level, n in sorted(have, reverse=True):
-            left -= n
-            if left < 0 and low is not None:
-                break
-            low = level
-        floor[lang] = low
+    kept = save(rated.join(best, "gram").filter(F.col("rate") >= share * F.col("best")).select("lang", "gram"), "kept")
+    most = max(r["count"] for r in kept.groupBy("lang").count().collect())
+    log2 = max(log2, int(np.ceil(np.log2(ROOM * most))))
     index = {k: i for i, k in enumerate(langs)}
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            l = b.column(0).to_pylist()
-            ok = np.array([v >= floor[k] for k, v in zip(l, b.column(2).to_pylist())], bool)
-            i = np.array([index[k] for k in l], np.int64)[ok]
+            i = np.array([index[k] for k in b.column(0).to_pylist()], np.int64)
             mask = (np.uint64(1) << (i % 64).astype(np.uint64)).view(np.int64)
-            for p in _places(b.column(1).to_numpy().view(np.uint64)[ok], log2):
+            for p in _places(b.column(1).to_numpy().view(np.uint64), log2):
                 yield pa.record_batch([pa.array(i // 64), pa.array(p), pa.array(mask)], ["word", "at", "mask"])
 
     got = map_arrow(kept, bits, "word long, at long, mask long").groupBy("word", "at").agg(F.bit_or("mask").alias("mask")).toArrow()
