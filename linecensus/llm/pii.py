@@ -13,7 +13,9 @@ spans and with look-alikes: dates, prices, versions, serial numbers.
 Base spans stay; a segment that overlaps one is dropped.
 
 Defined results: null and empty texts have no spans; base_sha256 is then that of the empty
-string. Repeated rows each give a row. Nothing but id and text columns is read.
+string. Of equal scores the segmentation with fewer segments, then earlier ones, wins. A
+text of any length is scanned whole; an entity is found however long its words are.
+Repeated rows each give a row. Nothing but id and text columns is read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NUMERIC = re.compile(r"[+(]?[0-9][0-9+().\[\]\x20/-]*+")
-SPELLED = re.compile(r"(?i)[\[({]\x20?at\x20?[\])}]|\x20at\x20(?=[A-Za-z0-9-]{1,40}\x20(?:dot|\.)\x20)")
+SPELLED = re.compile(r"(?i)[\[({]\x20?at\x20?[\])}]|\x20at\x20(?=[A-Za-z0-9-]++\x20(?:dot|\.)\x20)")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]|\s+")
 CUES = {"phone": "phone", "tel": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "amex": "card", "ip": "ip", "host": "ip", "server": "ip", "mail": "email", "email": "email", "contact": "email", "order": "id", "no": "id", "isbn": "id", "id": "id", "version": "id", "serial": "id"}
 
@@ -74,12 +77,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _kind(c: str) -> int:
+    """Which class of TOKEN a character is in."""
+    return 0 if c.isascii() and c.isalpha() else 1 if "0" <= c <= "9" else 2 if c.isspace() else 3
+
+
+def _around(text: str, start: int, end: int) -> tuple[int, int]:
+    """The part with TOKENS tokens on either side: no candidate that holds start:end reaches further."""
+    a = start
+    for _ in range(TOKENS):
+        if not a:
+            break
+        kind, a = _kind(text[a - 1]), a - 1
+        while kind < 3 and a and _kind(text[a - 1]) == kind:
+            a -= 1
+    z = end
+    for _, m in zip(range(TOKENS), TOKEN.finditer(text, end)):
+        z = m.end()
+    return a, z
+
+
 def zones(text: str) -> Iterator[tuple[int, int]]:
     """Parts of the text that may hold an entity, in order, apart from each other."""
     found = []
     if DIGIT.search(text):
         found = [m.span() for m in NUMERIC.finditer(text) if len(m[0]) >= 7 and sum(c in "0123456789" for c in m[0]) >= 4]
-    found += [(max(0, m.start() - 64), min(len(text), m.end() + 96)) for m in SPELLED.finditer(text)]
+    found += [_around(text, *m.span()) for m in SPELLED.finditer(text)]
     found.sort()
     held = None
     for a, z in found:
@@ -136,7 +159,7 @@ def _features(kind: int, text: str, s: int, e: int) -> list[tuple]:
     if kind == 0:
         at, dot = bool(re.search(r"(?i)[\[({]\x20?at\x20?[\])}]", span)), bool(re.search(r"(?i)[\[({ ]dot[\])} ]|\.", span))
         words = re.sub(r"(?i)[\[({]?\x20?\b(at|dot)\b\x20?[\])}]?", " ", span).split()
-        f = ["bias", f"at{at}", f"dot{dot}", f"dots{at and dot}", f"words{min(6, len(words))}", f"top{len(re.findall('[A-Za-z]+$', span)[-1]) if span[-1:].isalpha() else 0 if span else 0}", f"cue{cue}", f"spaces{min(5, span.count(' '))}", f"ends{dot and bool(re.search(r'(?i)(dot[\])}]?|[.])\x20?[a-z]{2,4}$', span))}"]
+        f = ["bias", f"at{at}", f"dot{dot}", f"dots{at and dot}", f"words{min(6, len(words))}", f"top{len(span) - len(span.rstrip(ascii_letters))}", f"cue{cue}", f"spaces{min(5, span.count(' '))}", f"ends{dot and bool(re.search(r'(?i)(dot[\])}]?|[.])\x20?[a-z]{2,4}$', span))}"]
     else:
         seps = "".join(sorted(set(re.sub(r"[0-9]", "", span))))
         f = ["bias", f"n{len(digits)}", f"seps{seps}", f"groups{','.join(str(len(g)) for g in groups)}", f"count{len(groups)}", f"first{span[0] if not span[0].isdigit() else 'd'}", f"cue{cue}", f"right{'d' if right.isdigit() else 'a' if right.isalnum() else right}", f"left{'d' if left.isdigit() else 'a' if left.isalnum() else left}", f"zero{digits[:2] == '00'}"]
@@ -204,7 +227,8 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
 
     def card() -> str:
         x, y = checked(16), checked(15)
-        return pick(f"{y[:4]} {y[4:10]} {y[10:]}", f"{y[:4]}-{y[4:10]}-{y[10:]}", ".".join(x[i : i + 4] for i in range(0, 16, 4)), y, " ".join(x[i : i + 4] for i in range(0, 16, 4)))
+        fours = [x[i : i + 4] for i in range(0, 16, 4)]
+        return pick(f"{y[:4]} {y[4:10]} {y[10:]}", f"{y[:4]}-{y[4:10]}-{y[10:]}", ".".join(fours), " ".join(fours), "-".join(fours), x, y)
 
     def ip() -> str:
         p = [str(v) for v in rng.integers(0, 256, 4)]
