@@ -8,11 +8,11 @@ fitted by dual coordinate descent on a bounded sample (SAMPLE rows of each class
 by a hash of the id), and a logistic curve, weighted back to all learning rows, turns its
 margin into a score.
 
-Defined results: a null text is the empty text, which has no feature and scores by the
-bias alone; without learning rows of both classes every score is the share of label 1
-among them (0.5 if there is none). Labels without a quality are not used; of several
+Defined results: a null text is the empty text, whose one feature is the bin of length 0;
+a text of any length is read whole, in pieces; without learning rows of both classes every score is the share of label 1
+among them (0.5 if there is none). A score of exactly 0.5 predicts 1. Labels without a quality are not used; of several
 labels of an id the largest counts. Repeated rows each give a row. lang, source, toxic
-and ids are never features.
+and ids are never features; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, save
-from .graph import id_filter
+from .common import crc_mod, few, map_arrow, save
 
 LOG2 = 18
 SIZE = (1 << LOG2) + 256  # the last 256: bins
@@ -35,13 +34,21 @@ COST = 1.0
 EPOCHS = 30
 FOLDS, HELD_OUT = 3, 1
 PIECE = 1 << 20
+CACHE = 16 << 20
 
 
 class _Words(dict):
+    """word -> feature number; forgets all when its words and their entries (about 150 bytes each) take CACHE bytes."""
+
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        h = xxhash.xxh3_64_intdigest(word) >> (64 - LOG2)
+        self.held += 150 + len(word)
+        if self.held > CACHE:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) >> (64 - LOG2)
+            self.held = 150 + len(word)
+        self[word] = h
         return h
 
 
@@ -167,14 +174,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     apart = crc_mod(id_col, FOLDS) == HELD_OUT
     wanted = labels.filter(labels["quality"].isin(0, 1) & labels[id_col].isNotNull() & ~apart).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("quality").cast("int").alias("quality"))
     wanted = save(wanted, "labels")
-    among = id_filter(wanted.select("id"))
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(among(b.column(0).to_numpy(zero_copy_only=False))))
-
     texts = docs.filter(docs[id_col].isNotNull() & ~apart).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    model = learn(map_arrow(texts, maybe, "id long, text string").join(wanted, "id").select("id", "quality", "text"))
+    model = learn(texts.join(few(wanted), "id").select("id", "quality", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
