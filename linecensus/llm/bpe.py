@@ -1,45 +1,45 @@
 """BPE encoding and decoding over a table of distinct words.
 
-A word is a run without Unicode white space. The tokenizers handled here drop white space
-before anything else, so a text's ids are those of its words in order. Texts are split in
-chunks of at most CHUNK characters (a longer text is a chunk of its own). A first scan deals the
-vocabulary of each chunk out by hashes of the words, in packed rows (bucket, chunk, places
-in the vocabulary, words); these meet by bucket, each distinct word is encoded once, and
-its ids go back to the chunks that asked.
-A second scan turns each chunk into a skeleton, the places of its words, which is joined
-with the answers by chunk; ids follow by position. So neither words nor texts are shuffled
-once for each occurrence. Decoding looks ids up in the id-to-piece table, whose size is
-the vocabulary's, and joins pieces as the tokenizer without a decoder does: by spaces.
+A word is a run without spaces and line feeds. The tokenizers handled here drop white space
+before anything else, other kinds of it inside a word too, so a text's ids are those of its
+words in order. Spark splits the texts into words. Runs of rows with about CHUNK words form a chunk: its vocabulary and, for
+each word, its place there. A first scan deals the vocabularies out by hashes of the words,
+in packed rows (bucket, chunk, places in the vocabulary, words); these meet by bucket, each
+distinct word is encoded once, and its ids go back to the chunks that asked. A second scan
+turns each chunk into a skeleton, the places of its words, which is joined with the answers
+by chunk; ids follow by position. So neither words nor texts are shuffled once for each
+occurrence. Decoding joins the ids of each text with the id-to-piece table, whose size is
+the vocabulary's and which every task holds, and sets the pieces in order, as the tokenizer
+without a decoder does: with spaces between.
 
 A chunk's key is a hash of its rows, so both scans, and any repeated task, agree on it; a
-skeleton that misses an answer stops the job rather than return wrong ids.
+skeleton that misses an answer stops the job rather than return wrong ids. Rows that come
+out of a shuffle, whose order may change from scan to scan, are saved first.
 
 Defined results: a null text is the empty text: 0 tokens and digests of nothing. Repeated
-rows each give a row; a null id stays null. Nothing but id and text columns is read.
+rows each give a row; a null id stays null. A text of any length is encoded whole; it is
+held in one task. Nothing but id and text columns is read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts
+from .common import map_arrow, parts, save
 
-CHUNK = 32_000_000
-TABLE = 2_000_000
-#: Control characters that str.split() drops, but Unicode White_Space does not hold.
-ODD = regex.compile(r"[\x1c-\x1f]")
-SPLIT = regex.compile(r"[^\p{White_Space}]+")
+CHUNK = 5_000_000  # words of a chunk, about
+SLICE = 200_000  # words that are assembled at once, unless one text has more
 
 
 def default_path() -> str:
@@ -62,57 +62,62 @@ def _tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> list[str]:
+def _pieces(path: str) -> pa.Array:
     """The id-to-piece table."""
-    tok = _tokenizer(path)
-    vocab = tok.get_vocab(with_added_tokens=True)
+    vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
     out = [""] * (max(vocab.values()) + 1)
     for piece, i in vocab.items():
         out[i] = piece
-    return out
+    return pa.array(out, pa.string())
 
 
-def split(text: str) -> list[str]:
-    return SPLIT.findall(text) if ODD.search(text) else text.split()
+def words_of(text: Column) -> Column:
+    """Cut at spaces and line feeds, literally: a pattern of all white space takes three times as long."""
+    return F.array_remove(F.split(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\n"), F.lit(" ")), " ", -1), "")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, list[str]]]:
-    """(key, doc ids, words per document, vocabulary places, vocabulary)."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, pa.Array]]:
+    """Rows (id, words) -> (key, ids, words of each row, places of the words, vocabulary)."""
 
-    def done(ids: list, counts: list, codes: list, vocab: dict, key: xxhash.xxh3_64) -> tuple:
-        key.update(repr(ids).encode())
-        return key.intdigest() - 2**63, ids, np.array(counts, np.int32), np.array(codes, np.int32), list(vocab)
+    def done(ids: list, counts: list, coded: list) -> tuple:
+        whole = pa.chunked_array(coded).unify_dictionaries()
+        vocab, codes = whole.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in whole.chunks]).astype(np.uint32)
+        n, key = np.concatenate(counts), xxhash.xxh3_64(repr(ids).encode())
+        for part in (n.tobytes(), codes.tobytes(), "\n".join(vocab.to_pylist()).encode()):
+            key.update(part)
+        return key.intdigest() - 2**63, ids, n, codes, vocab
 
+    ids, counts, coded, size = [], [], [], 0
     for b in batches:
-        ids, counts, codes, vocab, key, size = [], [], [], {}, xxhash.xxh3_64(), 0
-        for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-            text = text.as_py() or ""
-            if ids and size + len(text) > CHUNK:
-                yield done(ids, counts, codes, vocab, key)
-                ids, counts, codes, vocab, key, size = [], [], [], {}, xxhash.xxh3_64(), 0
-            words = split(text)
-            codes += [vocab.setdefault(w, len(vocab)) for w in words]
-            ids.append(i)
-            counts.append(len(words))
-            key.update(text.encode())
-            size += len(text)
-        if ids:
-            yield done(ids, counts, codes, vocab, key)
+        if not b.num_rows:
+            continue
+        words = b.column(1)
+        ids += b.column(0).to_pylist()
+        counts.append(pc.list_value_length(words).to_numpy().astype(np.int32))
+        coded.append(words.flatten().cast(pa.string()).dictionary_encode())
+        size += int(counts[-1].sum())
+        if size >= CHUNK:
+            yield done(ids, counts, coded)
+            ids, counts, coded, size = [], [], [], 0
+    if ids:
+        yield done(ids, counts, coded)
 
 
 def _vocabulary(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, _, _, _, vocab in _chunks(batches):
-            of = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) % buckets for w in vocab), np.int64, len(vocab))
+            of = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab.cast(pa.binary()).to_pylist()), np.uint64, len(vocab)) % np.uint64(buckets)
             order = np.argsort(of, kind="stable")
             cuts = np.flatnonzero(np.diff(of[order])) + 1
-            words = np.array(vocab, dtype=object)
             out = []
             for places in np.split(order, cuts) if len(order) else []:
-                text = "\n".join(words[places]).encode()
+                text = "\n".join(vocab.take(pa.array(places)).to_pylist()).encode()
                 out.append((int(of[places[0]]), key, len(places), _pack(places), len(text), pa.compress(text, "zstd", asbytes=True)))
-            for a in range(0, len(out), 200):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + 200]), WORDS_SCHEMA)], schema=WORDS_SCHEMA)
+                if len(out) >= 50:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), WORDS_SCHEMA)], schema=WORDS_SCHEMA)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), WORDS_SCHEMA)], schema=WORDS_SCHEMA)
 
     return run
 
@@ -128,82 +133,86 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, ids, counts, codes, vocab in _chunks(batches):
-        yield pa.RecordBatch.from_pydict({"chunk": [key], "kind": [1], "n": [len(codes)], "size": [len(vocab)], "ids": [ids], "lens": [counts.tobytes()], "data": [_pack(codes)]}, schema=_rows(pa.int64()))
-
-
-def _rows(id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("ids", pa.list_(id_type)), ("lens", pa.binary()), ("data", pa.binary())])
+        yield pa.RecordBatch.from_pydict({"chunk": [key], "kind": [1], "n": [len(codes)], "size": [len(vocab)], "ids": [ids], "lens": [counts.tobytes()], "data": [_pack(codes)]}, schema=ROWS_SCHEMA)
 
 
 WORDS = "bucket long, chunk long, n long, places binary, bytes long, words binary"
 WORDS_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("bytes", pa.int64()), ("words", pa.binary())])
 ROWS = "chunk long, kind int, n long, size long, ids array<long>, lens binary, data binary"
+ROWS_SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("data", pa.binary())])
 
 
 def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packed words -> answers: per chunk and bucket the places, the number of ids of each, the ids.
+    """Packed words, by bucket -> answers: per chunk and bucket the places, the number of ids of each, the ids.
 
-    A word is in one bucket, a bucket in one task, and the task's table holds its ids: so it is
-    encoded once. (Beyond TABLE words the table starts anew, to bound memory.)
+    A word is in one bucket and a bucket in one task, which holds the ids of the bucket's
+    words and no others: so each distinct word is encoded once.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, table = _tokenizer(path), {}
+        tok, bucket, table = _tokenizer(path), None, {}
         for b in batches:
-            for row in b.to_pylist():
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                if row["bucket"] != bucket:
+                    bucket, table = row["bucket"], {}
                 words = pa.decompress(row["words"], row["bytes"], "zstd", asbytes=True).decode().split("\n")
-                if len(table) > TABLE:
-                    table.clear()
                 fresh = [w for w in words if w not in table]
-                table.update(zip(fresh, (e.ids for e in tok.encode_batch(fresh, add_special_tokens=False))))
+                for a in range(0, len(fresh), 4096):
+                    some = fresh[a : a + 4096]
+                    table.update(zip(some, (array("I", e.ids).tobytes() for e in tok.encode_batch(some, add_special_tokens=False))))
                 ids = [table[w] for w in words]
-                lens = np.fromiter(map(len, ids), np.uint32, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
+                lens = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+                flat = np.frombuffer(b"".join(ids), np.uint32)
                 both = np.concatenate([_unpack(row["places"], row["n"]), lens])
-                yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]], "kind": [0], "n": [row["n"]], "size": [len(flat)], "ids": [[]], "lens": [_pack(both)], "data": [_pack(flat)]}, schema=_rows(pa.int64()))
+                yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]], "kind": [0], "n": [row["n"]], "size": [len(flat)], "ids": [[]], "lens": [_pack(both)], "data": [_pack(flat)]}, schema=ROWS_SCHEMA)
 
     return encode
 
 
-def _assembler(path: str, finish: Callable[[int | None, np.ndarray, str], tuple], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Answers, then skeletons, of each chunk -> finish(id, ids, decoded text) for each document."""
+Finish = Callable[[list, np.ndarray, np.ndarray, pa.Array], pa.RecordBatch]
+
+
+def _assembler(path: str, finish: Finish) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers, then skeletons, of each chunk -> finish(row ids, all token ids, where each text's begin and end, decoded texts), slice by slice."""
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = np.array(_pieces(path), dtype=object)
+        pieces = _pieces(path)
         chunk, got, table = None, [], None
-        for row in (r for b in batches for r in b.to_pylist()):
+        for row in (b.slice(k, 1).to_pylist()[0] for b in batches for k in range(b.num_rows)):
             if row["chunk"] != chunk:
                 chunk, got, table = row["chunk"], [], None
             if row["kind"] == 0:
                 got.append(row)
                 continue
             if table is None:
-                table = _table(got, row["size"], pieces)
+                table = _table(got, row["size"])
                 got = []
-            lens, starts, flat, shown = table
-            codes = _unpack(row["data"], row["n"])
-            of_word = lens[codes]
-            ends = np.cumsum(of_word)
-            ids = flat[np.repeat(starts[codes] - ends + of_word, of_word) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            stops = np.cumsum(np.frombuffer(row["lens"], np.int32))
-            at = np.concatenate([[0], ends])[np.concatenate([[0], stops])]
-            full = bool((lens > 0).all())
-            out, a = [], 0
-            for k, i in enumerate(row["ids"]):
-                words = shown[codes[a : stops[k]]]
-                out.append(finish(i, ids[at[k] : at[k + 1]], " ".join(words if full else [w for w in words if w])))
-                a = stops[k]
-                if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            lens, starts, flat = table
+            codes, stops = _unpack(row["data"], row["n"]), np.cumsum(np.frombuffer(row["lens"], np.int32), dtype=np.int64)
+            first = 0
+            while first < len(stops):
+                begin = int(stops[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(stops, begin + SLICE, "right")))
+                some = codes[begin : int(stops[last - 1])]
+                of_word = lens[some]
+                ends = np.cumsum(of_word)
+                ids = flat[np.repeat(starts[some] - ends + of_word, of_word) + np.arange(int(ends[-1]) if len(ends) else 0)]
+                bounds = np.concatenate([[0], ends])[np.concatenate([[0], stops[first:last] - begin])]
+                yield finish(row["ids"][first:last], ids, bounds, decoded(ids, bounds, pieces))
+                first = last
 
     return assemble
 
 
-def _table(got: list[dict], size: int, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk's vocabulary: number of ids, where they start, all ids, decoded words."""
+def decoded(ids: np.ndarray, bounds: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """The texts of token ids, through the id-to-piece table."""
+    joined = pieces.take(pa.array(ids.astype(np.int64)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), joined), " ")
+
+
+def _table(got: list[dict], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's vocabulary: number of ids, where they start, all ids."""
     lens, starts, seen = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
     flats, at = [np.zeros(0, np.uint32)], 0
     for row in got:
@@ -214,49 +223,50 @@ def _table(got: list[dict], size: int, pieces: np.ndarray) -> tuple[np.ndarray,
         at += row["size"]
     if not seen.all():
         raise RuntimeError("a chunk misses the ids of some of its words: its rows changed between two scans")
-    flat = np.concatenate(flats)
-    shown = np.empty(size, dtype=object)
-    of_id = pieces[flat]
-    for i, (s, n) in enumerate(zip(starts.tolist(), lens.tolist())):
-        shown[i] = of_id[s] if n == 1 else " ".join(of_id[s : s + n])
-    return lens, starts, flat, shown
-
-
-def _run(docs: DataFrame, path: str, id_col: str, text_col: str, finish: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-    spark = docs.sparkSession
-    n = parts(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return lens, starts, np.concatenate(flats)
+
+
+def _steady(docs: DataFrame) -> DataFrame:
+    """docs, or a saved copy if rows come out of a shuffle, in an order that may change from scan to scan."""
+    return save(docs, "texts") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
+def _run(docs: DataFrame, path: str, id_col: str, text_col: str, finish: Finish, ddl: str) -> DataFrame:
+    n = parts(docs.sparkSession)
+    texts = _steady(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).select("id", words_of(F.col("text")).alias("words"))
     words = map_arrow(texts, _vocabulary(4 * n), WORDS)
-    answers = map_arrow(words.repartition(n, "bucket"), _encoder(path), ROWS)
+    answers = map_arrow(words.repartition(n, "bucket").sortWithinPartitions("bucket"), _encoder(path), ROWS)
     both = answers.union(map_arrow(texts, _skeletons, ROWS)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
-    return map_arrow(both, _assembler(path, finish, schema), ddl)
+    return map_arrow(both, _assembler(path, finish), ddl)
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>), decoded (string): one row per row of docs."""
 
-    def finish(i: int | None, ids: np.ndarray, shown: str) -> tuple:
-        return i, ids.tolist(), shown
+    def finish(rows: list, ids: np.ndarray, bounds: np.ndarray, shown: pa.Array) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), lists, shown], ["doc_id", "ids", "decoded"])
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-    return _run(docs, path or default_path(), id_col, text_col, finish, schema, "doc_id long, ids array<int>, decoded string")
+    return _run(docs, path or default_path(), id_col, text_col, finish, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of docs."""
 
-    def finish(i: int | None, ids: np.ndarray, shown: str) -> tuple:
-        return i, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()
+    def finish(rows: list, ids: np.ndarray, bounds: np.ndarray, shown: pa.Array) -> pa.RecordBatch:
+        raw = memoryview(ids.astype("<u4").tobytes())
+        ids_sha = [hashlib.sha256(raw[4 * a : 4 * z]).hexdigest() for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        shown_sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in shown]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.diff(bounds).astype(np.int64)), pa.array(ids_sha, pa.string()), pa.array(shown_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return _run(docs, path or default_path(), id_col, text_col, finish, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _run(docs, path or default_path(), id_col, text_col, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, decoded from the ids alone. The id-to-piece table is broadcast: its size is the vocabulary's."""
+    """doc_id, decoded from the ids alone, by a DataFrame join with the id-to-piece table. The table is broadcast: its size is the vocabulary's."""
     spark = encoded.sparkSession
     path = path or default_path()
-    table = spark.createDataFrame(list(enumerate(_pieces(path))), "id int, piece string")
+    table = spark.createDataFrame(list(enumerate(_pieces(path).to_pylist())), "id int, piece string")
     numbered = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     rows = numbered.select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
     joined = rows.join(F.broadcast(table), "id", "left")
