@@ -11,7 +11,9 @@ owner looks live. Generic strings become spans only where they look live.
 
 Defined results: a null or empty text has no spans (base_sha256 is that of the empty
 string, spans is ""); null owners or repositories count as one owner, one repository;
-repeated rows each give a row. Nothing but id, text, owner and repository columns is read.
+repeated rows each give a row. Texts of any length are scanned whole; spans of one start
+come in the order of their kinds. The tables here have no repository: `lang` stands in for
+it, and `source` for the owner. Nothing but id, text, owner and repository columns is read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ index row; a mismatch stops the job.
 
 Defined results: null html is the empty payload; a null url is written as about:blank; a
 null id is never referred to, unless no row of its payload has an id: then all of them are
-responses. Rows with the same id and payload are all responses if one is.
+responses. Rows with the same id and payload are all responses if one is. A payload of any
+length is one record. Columns other than id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
