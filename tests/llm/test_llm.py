@@ -82,21 +82,41 @@ def test_minhash_odd_rows(spark, odd):
     assert minhash.kept_documents(odd).columns == odd.columns
 
 
-def test_sketch_never_drops_a_link():
+def test_sketches_estimate_and_keep_links():
     rng = np.random.default_rng(1)
-    for n in (40, 300, 900, 1000, 1100, 5000):
-        for _ in range(30):
-            base = np.unique(rng.integers(0, 2**64, 2 * n, np.uint64))
-            rng.shuffle(base)
-            a, drop = base[:n], int(n * 0.15 / 1.85)
-            b = np.sort(np.concatenate([a[drop:], base[n : n + drop]]))
-            a = np.sort(a)
-            both = len(np.intersect1d(a, b))
-            if both / (len(a) + len(b) - both) < 0.85:
-                continue
-            s = [minhash.odd_sketches(x, 0.85) for x in (a, b)]
-            g = {"n": np.array([len(a), len(b)]), "sketch": np.stack([np.frombuffer(x[0], np.uint8) for x in s]), "upper": np.stack([np.frombuffer(x[1], np.uint8) for x in s])}
-            assert minhash.differing(g, np.array([0]), np.array([1]))[0] <= minhash.passing(g["n"][:1], g["n"][1:], 0.85)[0]
+    for n in (5, 40, 150, 300, 1100, 5000, 20_000):
+        far, off = 0, []
+        for t in (0.85, 0.75):
+            for _ in range(150 if n < 2000 else 25):
+                base = np.unique(rng.integers(0, 2**64, 3 * n, np.uint64))
+                rng.shuffle(base)
+                drop = int(n * (1 - t) / (1 + t))
+                a, b = np.sort(base[:n]), np.sort(np.concatenate([base[drop:n], base[n : n + drop]]))
+                both = len(np.intersect1d(a, b))
+                true = both / (len(a) + len(b) - both)
+                x, y = minhash.samples(a), minhash.samples(b)
+                p, q = (np.frombuffer(minhash.odd_sketch(s), np.uint8) for s in (x, y))
+                z = np.array([np.bitwise_count(p ^ q).sum(dtype=np.int64)])
+                sizes = [np.array([v]) for v in (len(a), len(b), len(x), len(y))]
+                near = bool(minhash.similar(*sizes, z, 0.85)[0])
+                assert near or true < 0.85
+                far += near and t == 0.75
+                off.append(minhash.estimate(*sizes, z)[0] - true)
+        assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.02
+        assert n < 100 or far == 0
+
+
+def test_sketch_is_the_parity_of_the_least_hashes():
+    h = minhash.shingles(" ".join(map(str, range(9000))))
+    least = {}
+    for v in h.tolist():
+        least[v >> 52] = min(v, least.get(v >> 52, v))
+    some = minhash.samples(h)
+    assert some.tolist() == sorted(least.values()) and len(some) < len(h)
+    bits = [0] * minhash.BITS
+    for v in some.tolist():
+        bits[(v * 0xD6E8FEB86659FD93 % 2**64) >> 53] ^= 1
+    assert np.unpackbits(np.frombuffer(minhash.odd_sketch(some), np.uint8)).tolist() == bits
 
 
 def test_components(spark):
