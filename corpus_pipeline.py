@@ -8,6 +8,14 @@
 
 Stages 1 to 4 return the columns of documents. run() writes each stage's result to the
 shared folder and rereads it.
+
+Defined results. Null and empty texts: the first stage rejects them; later stages, given
+some, keep them (near_dup as rows without words, mix with size 0 once where the source has
+no words at all and otherwise not above its rate, tokens with 0 ids). Null ids: rows without
+an id are documents like others. Repeated rows: near_dup leaves one of them. Ties: the
+smallest id of a group stays, a null id last. Very long texts are read whole by every stage.
+Empty tables give empty results. Further columns, whatever their names, are carried along
+unread up to the last stage.
 """
 
 from __future__ import annotations
