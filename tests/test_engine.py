@@ -170,20 +170,19 @@ def test_golden_tree_of_our_own(spark, tree):
 
 
 def test_missing_parts_of_the_subpackage_are_not_hidden(monkeypatch):
-    import builtins
-
     import __spark_entry__ as entry
 
-    real = builtins.__import__
+    def broken(missing):
+        def load(name):
+            raise ModuleNotFoundError("missing", name=missing)
 
-    def broken(name, *a, **k):
-        if name == "linecensus.llm":
-            raise ModuleNotFoundError("no numpy", name="numpy")
-        return real(name, *a, **k)
+        return load
 
-    monkeypatch.setattr(builtins, "__import__", broken)
+    monkeypatch.setattr(entry, "import_module", broken("numpy"))
     with pytest.raises(ModuleNotFoundError):
         entry.queries()
+    monkeypatch.setattr(entry, "import_module", broken("linecensus.llm"))
+    assert not any(n.startswith("op") for n in entry.queries())
 
 
 def test_queries_run_and_have_sql(spark, data):
