@@ -8,10 +8,13 @@ of such a block size: all fixed and linear orders, Rice methods 0 and 1, partiti
 escapes. It verifies each header's CRC-8 and each frame's CRC-16 and, at the end, the MD5;
 any mismatch raises. Both work on thousands of frames at once, in steps of LANES frames,
 since the seek table makes frames independent; a stream without one is decoded in order.
+PCM blocks carry the sample offset they begin at; `seek` decodes only the frames around one.
 
 Defined results: a null text is the empty payload, which is one block of bytes 255; equal
-payloads have equal streams. Repeated rows each give a row. A text's size is bounded by
-memory only: what is beyond the payload itself is LANES frames at a time.
+payloads have equal streams. Repeated rows each give a row, a null id stays null. A text of
+any length is coded whole; of the codings of a frame the first of the shortest is taken.
+What is in memory beyond the payload and its stream is LANES frames at a time. Columns
+other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, save
 
 BLOCK = 576
-LANES = 4096
+LANES = 2048
+PCM = 64 * BLOCK  # samples of a PCM block
+#: How the media column is written. Text is poor audio: its streams are nearly as long as itself, and the file
+#: format's compression finds the copies that a coder of single streams cannot.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(16 << 20), "parquet.enable.dictionary": "false"}
 RATE = 8000
 PRECISION, SHIFT = 10, 7  # of the coder's linear predictor
 
@@ -322,43 +329,85 @@ def _decode_frames(data: np.ndarray, start: np.ndarray, stop: np.ndarray | None,
     return out, end
 
 
+def pcm(streams: list[bytes], samples: int = PCM) -> Iterator[tuple[int, int, bytes]]:
+    """(stream, sample offset, unsigned samples): PCM blocks in order, LANES frames decoded at a time; raises where a checksum differs."""
+    known = [Stream(s) for s in streams]
+    held, at, sums = bytearray(), 0, hashlib.md5()
+
+    def frames() -> Iterator[tuple[int, bytes]]:
+        """(stream, decoded frames), stream by stream."""
+        todo, d = [], 0
+        while d < len(known):
+            s = known[d]
+            if s.indexed:
+                todo += [(d, a, min(LANES, len(s.samples) - a)) for a in range(0, len(s.samples), LANES)]
+            d += 1
+            while todo and (d == len(known) or not known[d].indexed or sum(n for _, _, n in todo) >= LANES):
+                step = [todo.pop(0)]
+                while todo and sum(n for _, _, n in step) + todo[0][2] <= LANES:
+                    step.append(todo.pop(0))
+                yield from _decoded(streams, known, step)
+            if not s.indexed:
+                at, k = s.first, 0
+                while k < s.total // BLOCK:
+                    data = np.frombuffer(streams[d - 1][at : at + 4 * BLOCK + 64] + bytes(8), np.uint8)
+                    x, end = _decode_frames(data, np.zeros(1, np.int64), None, np.array([k]))
+                    yield d - 1, (x + 128).astype(np.uint8).tobytes()
+                    at, k = at + int(end[0]), k + 1
+
+    for d, part in frames():
+        held += part
+        sums.update((np.frombuffer(part, np.uint8) ^ 0x80).tobytes())
+        ends = at + len(held) >= known[d].total
+        while len(held) >= samples or ends and held:
+            block = bytes(held[:samples])
+            del held[:samples]
+            yield d, at, block
+            at += len(block)
+        if ends:
+            if at != known[d].total or sums.digest() != known[d].md5:
+                raise ValueError("the samples' MD5 differs")
+            at, sums = 0, hashlib.md5()
+
+
+def _decoded(streams: list[bytes], known: list[Stream], step: list[tuple[int, int, int]]) -> Iterator[tuple[int, bytes]]:
+    """step: (stream, first frame, frames), found by the seek tables. Decodes all of them side by side."""
+    parts, starts, stops, numbers, base = [], [], [], [], 0
+    for d, a, n in step:
+        edge = np.append(known[d].offsets[a : a + n + 1], [len(streams[d])] if a + n == len(known[d].offsets) else [])
+        parts.append(streams[d][int(edge[0]) : int(edge[n])])
+        starts.append(edge[:n] - edge[0] + base)
+        stops.append(edge[1 : n + 1] - edge[0] + base)
+        numbers.append(np.arange(a, a + n))
+        base += len(parts[-1])
+    data = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
+    x, _ = _decode_frames(data, *(np.concatenate(v).astype(np.int64) for v in (starts, stops, numbers)))
+    flat, k = (x + 128).astype(np.uint8), 0
+    for d, _, n in step:
+        yield d, flat[k : k + n].tobytes()
+        k += n
+
+
+def seek(stream: bytes, offset: int, samples: int) -> bytes:
+    """The samples from an offset on, read from the frames that hold them; the seek table says where those are."""
+    known = Stream(stream)
+    if not known.indexed:
+        raise ValueError("a stream without a full seek table cannot be sought")
+    stop = min(known.total, offset + samples)
+    if not 0 <= offset < stop:
+        return b""
+    first, last = offset // BLOCK, (stop - 1) // BLOCK
+    steps = [(0, a, min(LANES, last + 1 - a)) for a in range(first, last + 1, LANES)]
+    whole = b"".join(part for step in steps for _, part in _decoded([stream], [known], [step]))
+    return whole[offset - first * BLOCK : stop - first * BLOCK]
+
+
 def decode(streams: list[bytes]) -> list[bytes]:
     """Payloads of FLAC streams; raises where a checksum differs."""
-    known = [Stream(s) for s in streams]
     out: list[list[bytes]] = [[] for _ in streams]
-    todo = [(d, a, min(LANES, len(s.samples) - a)) for d, s in enumerate(known) if s.indexed for a in range(0, len(s.samples), LANES)]
-    while todo:
-        step, lanes = [], 0
-        while todo and (not step or lanes + todo[0][2] <= LANES):
-            step.append(todo.pop(0))
-            lanes += step[-1][2]
-        parts, starts, stops, numbers, base = [], [], [], [], 0
-        for d, a, n in step:
-            edge = np.append(known[d].offsets[a : a + n + 1], [len(streams[d])] if a + n == len(known[d].offsets) else [])
-            parts.append(streams[d][int(edge[0]) : int(edge[n])])
-            starts.append(edge[:n] - edge[0] + base)
-            stops.append(edge[1 : n + 1] - edge[0] + base)
-            numbers.append(np.arange(a, a + n))
-            base += len(parts[-1])
-        data = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
-        x, _ = _decode_frames(data, *(np.concatenate(v).astype(np.int64) for v in (starts, stops, numbers)))
-        flat, k = (x + 128).astype(np.uint8), 0
-        for d, _, n in step:
-            out[d].append(flat[k : k + n].tobytes())
-            k += n
-    for d, s in enumerate(known):
-        if not s.indexed:  # in order
-            at, k = s.first, 0
-            while k < s.total // BLOCK:
-                data = np.frombuffer(streams[d][at : at + 4 * BLOCK + 64] + bytes(8), np.uint8)
-                x, end = _decode_frames(data, np.zeros(1, np.int64), None, np.array([k]))
-                out[d].append((x + 128).astype(np.uint8).tobytes())
-                at, k = at + int(end[0]), k + 1
-    done = [b"".join(p) for p in out]
-    for p, s in zip(done, known):
-        if len(p) != s.total or hashlib.md5((np.frombuffer(p, np.uint8) ^ 0x80).tobytes()).digest() != s.md5:
-            raise ValueError("the samples' MD5 differs")
-    return done
+    for d, _, block in pcm(streams):
+        out[d].append(block)
+    return [b"".join(p) for p in out]
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,7 +423,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_arrow(rows, run, "doc_id long, n_bytes long, media binary")
 
 
-def _bounded(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _bounded(b: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes in a column."""
     sizes = [len(v.as_buffer()) if v.is_valid else 0 for v in b.column(column)]
     a, total = 0, 0
@@ -387,27 +436,48 @@ def _bounded(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa
         yield b.slice(a)
 
 
-def pcm_blocks(media: DataFrame, samples: int = 64 * BLOCK) -> DataFrame:
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """to_media, written to the shared folder: what reads it reads stored bytes."""
+    return save(to_media(docs, id_col, text_col), "media", **STORED)
+
+
+def pcm_blocks(media: DataFrame, samples: int = PCM) -> DataFrame:
     """doc_id, sample_offset, pcm (unsigned 8-bit): blocks of decoded samples that can be sought by offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _bounded(b, 1):
-                for i, p in zip(part.column(0).to_pylist(), decode(part.column(1).to_pylist())):
-                    at = list(range(0, len(p), samples))
-                    yield pa.record_batch([pa.array([i] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([p[a : a + samples] for a in at], pa.binary())], ["doc_id", "sample_offset", "pcm"])
+                ids = part.column(0).to_pylist()
+                for d, at, block in pcm(part.column(1).to_pylist(), samples):
+                    yield pa.record_batch([pa.array([ids[d]], pa.int64()), pa.array([at], pa.int64()), pa.array([block], pa.binary())], ["doc_id", "sample_offset", "pcm"])
 
     return map_arrow(media.select("doc_id", "media"), run, "doc_id long, sample_offset long, pcm binary")
 
 
-def feature(payload: bytes) -> str:
-    """Whole-number statistics of the samples: mean, mean square, zero crossings, largest size."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    return f"mean={int(x.sum()) * 1000 // len(x)};power={int((x * x).sum()) // len(x)};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={int(np.abs(x).max())}"
+class _Payload:
+    """Sizes, digests and whole-number statistics of samples (mean, mean square, zero crossings, largest size), block by block."""
+
+    def __init__(self) -> None:
+        self.n, self.sha, self.tail = 0, hashlib.sha256(), b""
+        self.total = self.square = self.crossings = self.peak = 0
+        self.last: bool | None = None
+
+    def add(self, block: bytes) -> None:
+        x = np.frombuffer(block, np.uint8).astype(np.int64) - 128
+        below = x < 0
+        self.n, self.tail = self.n + len(x), (self.tail + block)[-32:]
+        self.sha.update(block)
+        self.total, self.square, self.peak = self.total + int(x.sum()), self.square + int((x * x).sum()), max(self.peak, int(np.abs(x).max()))
+        self.crossings += int((below[1:] != below[:-1]).sum()) + (self.last is not None and self.last != bool(below[0]))
+        self.last = bool(below[-1])
+
+    @property
+    def feature(self) -> str:
+        return f"mean={self.total * 1000 // self.n};power={self.square // self.n};crossings={self.crossings};peak={self.peak}"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """media: doc_id, n_bytes, media. The stored bytes read back: sizes, digests and features."""
+    """media: doc_id, n_bytes, media. The bytes read back, PCM block by PCM block: sizes, digests and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -415,8 +485,10 @@ def digests(media: DataFrame) -> DataFrame:
         for b in batches:
             for part in _bounded(b, 2):
                 stored = part.column(2).to_pylist()
-                got = decode(stored)
-                cols = [part.column(0), part.column(1), [len(p) for p in got], [hashlib.sha256(p).hexdigest() for p in got], [zlib.crc32(p[-32:]) for p in got], [len(s) for s in stored], [hashlib.sha256(s).hexdigest() for s in stored], [feature(p) for p in got]]
+                got = [_Payload() for _ in stored]
+                for d, _, block in pcm(stored):
+                    got[d].add(block)
+                cols = [part.column(0), part.column(1), [p.n for p in got], [p.sha.hexdigest() for p in got], [zlib.crc32(p.tail) for p in got], [len(s) for s in stored], [hashlib.sha256(s).hexdigest() for s in stored], [p.feature for p in got]]
                 yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], names)
 
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -18,7 +18,7 @@ def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digests(flac.to_media(table(spark, sf_dir, "documents")))
+    return flac.digests(flac.store(table(spark, sf_dir, "documents")))
 
 
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
