@@ -49,7 +49,7 @@ BANDS, ROWS = 25, 5
 SAMPLES, BITS, SIGMAS = 4096, 2048, 5
 THRESHOLD = 0.85
 LOOSE_ROWS, MISS = 4, 1e-6
-BLOCK = 256
+BLOCK = 1024  # rows with sketches, 300 bytes each: a bucket of so many is not copied at all
 DEAL = 64
 CACHE = 8 << 20  # bytes of words that a worker remembers
 
@@ -264,8 +264,8 @@ def _passing_pairs(g: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarr
     i, j = g["i"][0], g["j"][0]
     left, right = np.flatnonzero(g["chunk"] == i), np.flatnonzero(g["chunk"] == j)
     words, found = np.ascontiguousarray(g["sketch"]).view(np.uint64).reshape(len(g["n"]), -1), []
-    for a in range(0, len(left), 64):
-        l = left[a : a + 64]
+    for a in range(0, len(left), 32):
+        l = left[a : a + 32]
         z = np.bitwise_count(words[l, None, :] ^ words[None, right, :]).sum(axis=2, dtype=np.int64)
         of = g["n"][l, None], g["n"][None, right], g["k"][l, None], g["k"][None, right], z
         near = similar(*of, threshold)
