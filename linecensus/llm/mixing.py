@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, forget, parts, save
+from .common import WORD, few, forget, parts, save
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = state.select("key", "source_size", "target", "tilt", "mean", "full").join(sources.select("key", "n_docs"), "key")
     hashed = F.xxhash64("id", "size")
     rate = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(_rate(F.col("tilt"), F.col("size") / F.col("mean"), F.col("full")))
-    rated = sized.join(known, "key").withColumn("rate", rate)
+    rated = sized.join(few(known), "key").withColumn("rate", rate)  # broadcast, as long as sources are few: no task holds all rows of one
     marks = [c for c in extra if c != "id"]
     entries = rated.groupBy("key", "id", *marks, "size").agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("rate", "n_docs", "source_size", "target")])
     bucket = F.pmod(F.xxhash64("id", "size", *marks, F.lit(7)), F.ceil(F.col("n_docs") / BUCKET))
