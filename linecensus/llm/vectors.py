@@ -19,7 +19,9 @@ Defined results: vectors that are null, empty, zero or hold null or non-finite c
 and those without a label, link with nothing (n_links 0, a component of their own);
 vectors of different length never link; rows with one id count as one vertex of the graph;
 a row without an id takes the smallest id it reaches, null if there is none. Repeated rows
-each give a row and are linked with each other.
+each give a row and are linked with each other. Ties do not arise: a cosine is at the
+threshold or above, or below. Vectors of any length fit, one row at a time. Columns other
+than id, vector and label are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,20 +98,27 @@ def tables_for(dim: int, k: int, threshold: float = THRESHOLD, miss: float = MIS
     return int(np.ceil(np.log(miss) / np.log(1 - p)))
 
 
-def _unit(rows: pa.Array, dim: int) -> np.ndarray:
-    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _signed(dim: int, tables: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _code_type(dim: int, tables: int, k: int) -> np.dtype:
+    """The smaller integer that holds every code."""
+    size = 1 << max(1, (dim - 1).bit_length())
+    return np.dtype(np.int32 if tables * (2 * size) ** k < 2**31 else np.int64)
+
+
+def _signed(dim: int, tables: int, k: int, kind: np.dtype) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 2000):
                 part = b.slice(a, 2000)
-                x = _unit(part.column(4), dim)
-                c = codes(x, tables, k).reshape(len(x), -1)
-                yield pa.record_batch([*part.columns[:4], pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in c], pa.binary()), pa.array(list(c), pa.list_(pa.int64()))], ["class", "label", "id", "copies", "vector", "codes", "list"])
+                x = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(kind)
+                c = codes(_unit(x), tables, k).reshape(len(x), -1)
+                short = c.astype(_code_type(dim, tables, k))
+                yield pa.record_batch([*part.columns[:4], pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in short], pa.binary()), pa.array(list(c), pa.list_(pa.int64()))], ["class", "label", "id", "copies", "vector", "codes", "list"])
 
     return run
 
@@ -124,14 +133,15 @@ def _first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(x_in_y[r, t], hx[r, t], top), np.where(y_in_x[r, t], hy[r, t], top))
 
 
-def _linked(dim: int, tables: int, k: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _linked(dim: int, tables: int, k: int, kind: np.dtype, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks (label, code, i, j) -> rows (0, class, links) and (1, id, smallest id of its component here)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in blocks(batches, 4, {"vector": 8 * dim, "codes": 8 * tables * (1 + k)}):
+        code = _code_type(dim, tables, k)
+        for g in blocks(batches, 4, {"vector": kind.itemsize * dim, "codes": code.itemsize * tables * (1 + k)}):
             i, j, m = g["i"][0], g["j"][0], len(g["class"])
-            x = np.ascontiguousarray(g["vector"]).view(np.float64).reshape(m, dim)
-            c = np.ascontiguousarray(g["codes"]).view(np.int64).reshape(m, tables, 1 + k)
+            x = _unit(np.ascontiguousarray(g["vector"]).view(kind).reshape(m, dim))
+            c = np.ascontiguousarray(g["codes"]).view(code).astype(np.int64).reshape(m, tables, 1 + k)
             left, right = np.flatnonzero(g["chunk"] == i), np.flatnonzero(g["chunk"] == j)
             near = x[left] @ x[right].T >= threshold
             near &= g["home"][left, None] | g["home"][None, right]
@@ -160,14 +170,14 @@ def _linked(dim: int, tables: int, k: int, threshold: float) -> Callable[[Iterat
     return run
 
 
-def _pairs(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
+def _pairs(classes: DataFrame, dim: int, kind: np.dtype, threshold: float) -> DataFrame:
     n = parts(classes.sparkSession)
     own = classes.filter(F.col("dim") == dim)
     most = own.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     size = 1 << max(1, (dim - 1).bit_length())
     k = max(1, int(np.ceil(np.log(max(1, most / BUCKET)) / np.log(2 * size))))
     tables = tables_for(dim, k, threshold)
-    signed = save(map_arrow(own.select("class", "label", "id", "copies", "vector"), _signed(dim, tables, k), "class long, label long, id long, copies long, vector binary, codes binary, list array<long>"), "signed")
+    signed = save(map_arrow(own.select("class", "label", "id", "copies", "vector"), _signed(dim, tables, k, kind), "class long, label long, id long, copies long, vector binary, codes binary, list array<long>"), "signed")
     rows = signed.select("class", "label", F.posexplode("list").alias("pos", "code")).select("class", "label", "code", (F.col("pos") % (1 + k) == 0).alias("home"))
     sizes = rows.groupBy("label", "code").agg(F.count("*").alias("n"), F.max("home").alias("some")).filter("n > 1 and some")
     many = F.ceil(F.col("n") / BLOCK)
@@ -175,7 +185,7 @@ def _pairs(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     wide = narrow.join(signed.drop("label", "list"), "class")
     wide = wide.select("label", "code", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "home", "class", "id", "copies", "vector", "codes")
     wide = wide.repartition(n, "label", "code", "i", "j").sortWithinPartitions("label", "code", "i", "j")
-    return map_arrow(wide, _linked(dim, tables, k, threshold), "kind int, a long, b long")
+    return map_arrow(wide, _linked(dim, tables, k, kind, threshold), "kind int, a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -190,8 +200,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # classes without any id still count as links: they get ids of their own, below all others, and lose them at the end
     named = classes.withColumn("id", F.coalesce("id", F.lit(2**62) + F.col("class")))
     found = None
+    # vectors of floats travel as such: their doubles hold nothing more
+    kind = np.dtype(np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64)
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
-        part = _pairs(named, dim, threshold)
+        part = _pairs(named, dim, kind, threshold)
         found = part if found is None else found.union(part)
     found = save(found if found is not None else classes.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).limit(0), "links")
     links = found.filter("kind = 0").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("links"))
