@@ -84,14 +84,14 @@ def classify_cascade(spark, sf_dir):
     """--autoconf drops one .in, --ignore-case-ext lowers extensions, names that are not code are left out, whole names lower-cased."""
     r = F.col("doc_id") % 5
     name = F.when(r == 0, "MAKEFILE.in").when(r == 1, "README.in").when(r == 2, "a.RS").when(r == 3, "b.py.in").otherwise("thing")
-    df = _lines(spark, sf_dir).withColumns({"name": name, "lines": F.transform("lines", plain)})
+    df = _lines(spark, sf_dir, True).withColumns({"name": name, "lines": F.transform("lines", plain)})
     return classify.classify(df, o=classify.ClassifyOptions(autoconf=True, ignore_case_ext=True)).select("doc_id", "language", "skip_reason")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'C' END AS language, CASE WHEN doc_id % 2 = 1 THEN 'listed in Not_Code_Extension: zip' END AS skip_reason FROM documents")
 def classify_without_extension(spark, sf_dir):
     """--lang-no-ext: for names without a dot that nothing else claims."""
-    df = _lines(spark, sf_dir).withColumns({"name": F.when(F.col("doc_id") % 2 == 0, "thing").otherwise("thing.zip"), "lines": F.transform("lines", plain)})
+    df = _lines(spark, sf_dir, True).withColumns({"name": F.when(F.col("doc_id") % 2 == 0, "thing").otherwise("thing.zip"), "lines": F.transform("lines", plain)})
     return classify.classify(df, o=classify.ClassifyOptions(lang_no_ext="C")).select("doc_id", "language", "skip_reason")
 
 
@@ -99,7 +99,7 @@ def classify_without_extension(spark, sf_dir):
 def classify_forced(spark, sf_dir):
     """A language forced for everything claims every file, whatever its name."""
     name = F.concat(F.lit("a."), F.element_at(F.array(*map(F.lit, ("py", "zip", "rs", "c~"))), (F.col("doc_id") % 4 + 1).cast("int")))
-    df = _lines(spark, sf_dir).withColumn("name", name)
+    df = _lines(spark, sf_dir, True).withColumn("name", name)
     return classify.classify(df, builtin().forced("Ada")).select("doc_id", "language")
 
 

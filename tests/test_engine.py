@@ -223,3 +223,35 @@ def test_numbered_folders_are_cleared(tmp_path, tree):
 def test_dimensions(spark):
     c = catalog.builtin()
     assert c.frame(spark, "extensions").count() == len(c.extensions) and c.frame(spark, "languages").count() == len(c.languages)
+
+
+ODD_TEXTS = ("", "a\n", "\n", None, "a\n\nb", "x y\r\nz", "one\ntwo")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """documents with each odd text under twelve ids, and empty ones of another language."""
+    at = str(tmp_path_factory.mktemp("odd"))
+    rows = [(7 * k + j, t, "en", "web", len(t or "")) for k in range(12) for j, t in enumerate(ODD_TEXTS)]
+    rows += [(1000 + k, "", "de", "web", 0) for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+ON_ODD_TEXTS = (
+    "above_and_below", "blanks_cobol", "blanks_xpp", "continued_blanks", "count_files", "count_files_native_all", "count_ignore_regex", "count_skip_leading_ext", "count_total_lines", "cutoff_other", "diff_by_file", "diff_by_language", "diff_code_flags", "diff_files",
+    "line_census_by_lang", "f90_comments", "jcl_comments", "rmd_fences", "align_trees", "classify_cascade", "resolve_matlab_and_others", "step_rm_last_line", "step_die", "steps_python",
+)
+
+
+@pytest.mark.parametrize("name", ON_ODD_TEXTS)
+def test_lines_of_odd_texts_are_those_of_the_sql(spark, odd, name):
+    """Empty texts have one empty line, and what a made line is follows from its class also where its text is blank."""
+    import __spark_entry__  # noqa: F401  (adds the queries)
+
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
+    got = queries.QUERIES[name](spark, odd)
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
