@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from linecensus.functions import resolve, sequence, steps
+from linecensus.functions.patterns import compiled, finder
 from linecensus.functions.steps import Context, Options, apply_chain, counted
 from linecensus.plans import catalog as cat
 
@@ -161,3 +163,20 @@ def test_all_patterns_compile():
         for group in r.groups:
             for rule in group:
                 re.compile(steps.compiled(rule[0]).pattern)
+
+
+def test_resolvers_take_long_lines_in_one_pass():
+    """A search for a repetition and what follows it would try every place of a long word, each to its end."""
+    began = time.time()
+    for r in resolve.RESOLVERS.values():
+        resolve.scores(["word" + "a" * 60_000, " " * 60_000], r)
+    assert time.time() - began < 10
+
+
+def test_shorter_patterns_find_what_the_longer_ones_did():
+    pick = random.Random(4)
+    lines = ["".join(pick.choices(["a", "é", "_", "9", " ", "\t", "=", "[", "]", "<<'", "\\", "#", "%"], k=pick.randint(0, 8))) for _ in range(20_000)]
+    for short, long in ((r"\w\s*=\s*\[", r"\w+\s*=\s*\["), (r"\w\[", r"\w+\["), (r"<<'", r"\s*<<'")):
+        assert [bool(finder(short)(x)) for x in lines] == [bool(compiled(long).search(x)) for x in lines]
+    for p, anchored in ((r"(?i)^\s*(a|b)\b", True), (r"^[|(]a", True), (r"^a\||b", False), (r"^a|^b", False), (r"a^", False)):
+        assert (finder(p).__name__ == "match") == anchored
