@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.resolve import content_needed, resolved
 from ..plans.catalog import Catalog, builtin
-from ..plans.ship import ship
+from ..plans.ship import lean, ship
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,7 @@ def classify(files: DataFrame, catalog: Catalog | None = None, o: ClassifyOption
     no_autogen = o.no_autogen
 
     @F.pandas_udf("language string, skip_reason string")
+    @lean
     def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for names, lines in batches:
             yield pd.DataFrame([resolved(n, list(x), no_autogen) if x is not None else (n, None) for n, x in zip(names, lines)], columns=["language", "skip_reason"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import native
 from ..functions.steps import Context, NotCountable, Options, apply_chain, blanks_removed, counted
 from ..plans.catalog import Catalog, builtin
-from ..plans.ship import ship
+from ..plans.ship import lean, ship
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,7 @@ def count(files: DataFrame, catalog: Catalog | None = None, o: CountOptions = Co
     languages, scripts = catalog.languages, catalog.script_languages
 
     @F.pandas_udf("blank long, comment long, code long, error string")
+    @lean
     def tally(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for names, files_, lines in batches:
             out = []
@@ -77,6 +78,7 @@ def strip(files: DataFrame, catalog: Catalog | None = None, options: Options = O
     languages, scripts = catalog.languages, catalog.script_languages
 
     @F.pandas_udf("solid array<string>, stripped array<string>")
+    @lean
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for names, files_, lines in batches:
             out = []

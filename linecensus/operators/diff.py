@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import common, delta
 from ..functions.steps import Context, Options, apply_chain, blanks_removed
 from ..plans.catalog import Catalog, builtin
-from ..plans.ship import ship
+from ..plans.ship import lean, ship
 
 EDITS = ("same", "modified", "added", "removed")
 KINDS = ("blank", "comment", "code")
@@ -118,6 +118,7 @@ def compare(left: DataFrame, right: DataFrame, catalog: Catalog | None = None, o
     cols = [f"{k}_{e}" for k in KINDS for e in EDITS]
 
     @F.pandas_udf(", ".join(f"{c} long" for c in cols))
+    @lean
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for languages, names, lefts, rights in batches:
             out = []

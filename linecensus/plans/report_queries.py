@@ -16,7 +16,7 @@ from . import render
 from .catalog import builtin
 from .choice_queries import _MARKED, _rust
 from .queries import _DIFF, _TOTALS, LINES_SQL, QUERIES, SQL, _lines, _read, count_files, diff_by_language, query
-from .ship import ship
+from .ship import lean, ship
 from .step_queries import plain
 
 
@@ -108,6 +108,7 @@ def diff_code_flags(spark, sf_dir):
     df = count.strip(_rust(spark, sf_dir))
 
     @F.pandas_udf("array<boolean>")
+    @lean
     def flags(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for solid, stripped in batches:
             yield pd.Series([code_flags(list(a), list(b)) for a, b in zip(solid, stripped)])
@@ -202,6 +203,7 @@ def expanded_tabs(spark, sf_dir):
     ship(spark)
 
     @F.pandas_udf("long")
+    @lean
     def widths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lines in batches:
             yield pd.Series([sum(len(expand_tabs(x)) for x in own) for own in lines])

@@ -10,6 +10,7 @@ from linecensus.functions import native
 from linecensus.functions.steps import blanks_removed
 from linecensus.operators import count, diff, select
 from linecensus.plans import catalog, queries, render
+from linecensus.plans.ship import BATCH, ship
 from linecensus.sources import inputs
 from linecensus.sources.tree import scan
 
@@ -255,3 +256,15 @@ def test_lines_of_odd_texts_are_those_of_the_sql(spark, odd, name):
     got = queries.QUERIES[name](spark, odd)
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_functions_get_batches_of_few_bytes(spark):
+    """However many rows a batch may have, what a worker holds does not grow with a partition."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    rows = F.pandas_udf(lambda x: x.str.len() * 0 + len(x), "long")
+    for value in ("64m", "4m"):
+        spark.conf.set(limit, value)
+        ship(spark)
+        assert spark.conf.get(limit) == (value if value == "4m" else str(BATCH))
+        assert max(r[0] for r in wide.select(rows("text")).collect()) <= (BATCH >> 20) + 1
