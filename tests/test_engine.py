@@ -1,5 +1,6 @@
 import json
 import os
+import pickle
 import subprocess
 
 import pytest
@@ -12,7 +13,7 @@ from linecensus.operators import count, diff, select
 from linecensus.plans import catalog, queries, render
 from linecensus.plans.ship import BATCH, ship
 from linecensus.sources import inputs
-from linecensus.sources.tree import scan
+from linecensus.sources.tree import TreeReader, TreeSource, scan
 
 TREE = {
     "src/main.rs": "// one\n/* two\n   three */\n\nfn main() {\n}\nlet x;\n",
@@ -268,3 +269,18 @@ def test_functions_get_batches_of_few_bytes(spark):
         ship(spark)
         assert spark.conf.get(limit) == (value if value == "4m" else str(BATCH))
         assert max(r[0] for r in wide.select(rows("text")).collect()) <= (BATCH >> 20) + 1
+
+
+def test_tree_source_sends_tasks_no_list_of_paths(tmp_path):
+    paths = [str(tmp_path / f"f{k}") for k in range(3)]
+    for p in paths:
+        with open(p, "wb") as f:
+            f.write(b"x" * (BATCH - 2000))
+    source = TreeSource({"paths": json.dumps([*paths, *(f"/none/{k}" for k in range(5000))]), "listed": "true"})
+    assert "/none/4999" in str(pickle.loads(pickle.dumps(source)).options)
+    reader = source.reader(None)
+    assert isinstance(reader, TreeReader) and len(pickle.dumps((source, reader))) < 2000 and len(reader.paths) == 5003
+    batches = [b for part in reader.partitions() for b in pickle.loads(pickle.dumps(reader)).read(part)]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert max(b.nbytes for b in batches) < BATCH + (2 << 20) and len(rows) == 5003
+    assert {r["path"] for r in rows if r["error"] is None and r["length"] == BATCH - 2000 == len(r["content"])} == set(paths)
